@@ -20,8 +20,6 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register("author_stats", "SELECT event_type, user_id, count(*) AS commits FROM events GROUP BY event_type, user_id")
-def author_stats(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", "user_id").agg(F.count("*").alias("commits"))
+def load() -> None:
+    """Imports every module that registers queries."""
+    from gritmill.queries import functions, graph, index, mining, pipelines, rules, search  # noqa: F401
