@@ -83,7 +83,7 @@ def parse_rules(text: str, name: str = "", load=None, _seen: frozenset = frozens
     loops: dict[str, list[tuple[str, str]]] = {}
     text = re.sub(r"<\?.*?\?>", "", text, flags=re.S)
     text = re.sub(r"/\*.*?\*/|^\s*//[^\n]*", "", text, flags=re.S | re.M)
-    for m in re.finditer(r"<!\s*(foreach)?\s*([\w.]+)\s*:\s*(.*?)>(?=\s)", text + "\n", re.S):
+    for m in re.finditer(r"<!\s*(foreach)?\s*([\w.]+)\s*:\s*(.*?)>(?=[ \t]*\n)", text + "\n", re.S):
         if m[1]:
             loops[m[2]] = [tuple(x.strip() for x in pair.split("->", 1)) for pair in m[3].split(",") if "->" in pair]
         elif m[2] == "include":
@@ -92,7 +92,7 @@ def parse_rules(text: str, name: str = "", load=None, _seen: frozenset = frozens
                 rules += parse_rules(load(other) or "", other, load, _seen | {name, other})
         else:
             metadata[m[2]] = m[3].strip()
-    body = re.sub(r"<!\s*(?:foreach)?\s*[\w.]+\s*:.*?>(?=\s)", "", text + "\n", flags=re.S)
+    body = re.sub(r"<!\s*(?:foreach)?\s*[\w.]+\s*:.*?>(?=[ \t]*\n)", "", text + "\n", flags=re.S)
     for part in re.split(r"^\s*;;\s*$|;;\s*(?=\n|$)", body, flags=re.M):
         lines = [x.strip() for x in part.strip().splitlines() if x.strip()]
         if not lines:
