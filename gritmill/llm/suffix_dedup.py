@@ -10,8 +10,10 @@ rank does and need no renumbering between rounds, so that Spark only sorts and c
    are counted; a run whose pick is unique holds no repeated window and goes at once. Most of the corpus goes here.
 2. Whole runs (the pick, its offset and the content hash): a run that occurs twice has all its windows repeated. This
    settles the inside of long copies with one row a run.
-3. What is left shares its pick with a different run: its windows are told apart at the threshold by the rank pair
-   (rank of 200 bytes at p, rank of 200 bytes at p + 200), counted over one copy of each distinct run of that pick.
+3. What is left shares its pick with a different run. Such runs, one copy of each, are cut into blocks of 16 windows at
+   fixed offsets from the pick. The bytes common to a block's windows are ranked: if unique, none of its windows is
+   repeated. A block whose whole content occurs twice has all its windows repeated. In the few blocks between, windows are
+   told apart at the threshold by the rank pair (rank of 200 bytes at p, rank of 200 bytes at p + 200).
 
 Counts aggregate on the map side and hits come back over joins that Spark may split, so a passage that a third of all
 documents share falls into no single task.
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from gritmill.llm.common import Scratch, text_bytes, tidy
 
+#: Windows in a block of step 3.
+STEP = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,7 +83,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with the same pick: first and last window start, rank of the pick, rank of the whole run."""
+    """Runs of windows with the same pick: first and last window start, the pick, its rank, rank of the whole run."""
     h = _Hashes(text)
     grams = h.each(gram)
     order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
@@ -89,45 +93,55 @@ def runs_of(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     last = np.concatenate((cut, [len(picks)])) - 1
     pick = picks[first]
     shape = ((last - first) << 20 | (pick - first)).astype(np.uint64)
-    return first, last, grams[pick].view(np.int64), _mix(h.at(first, last + length) ^ _mix(shape + np.uint64(1))).view(np.int64)
+    return first, last, pick, grams[pick].view(np.int64), _mix(h.at(first, last + length) ^ _mix(shape + np.uint64(1))).view(np.int64)
 
 
 def _scan(length: int, gram: int):
-    schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("g", pa.int64()), ("r", pa.int64())])
+    schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("a", pa.int32()), ("g", pa.int64()), ("r", pa.int64())])
 
     def scan(batches):
         for b in batches:
             rows: list[tuple] = []
             for i, text in enumerate(text_bytes(b.column(2))):
                 if len(text) >= length:
-                    s, e, g, r = runs_of(text, length, gram)
-                    rows.append((np.full(len(s), i), s, e, g, r))
+                    s, e, a, g, r = runs_of(text, length, gram)
+                    rows.append((np.full(len(s), i), s, e, a, g, r))
             if rows:
-                i, s, e, g, r = (np.concatenate(x) for x in zip(*rows, strict=True))
+                i, s, e, a, g, r = (np.concatenate(x) for x in zip(*rows, strict=True))
                 at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(g), pa.array(r)], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (s, e, a)), pa.array(g), pa.array(r)], schema=schema)
 
     return scan
 
 
-def _windows(length: int):
+def _blocks(length: int):
+    """Cuts runs into blocks of at most STEP windows, at multiples of STEP before the pick, each with its windows' ranks."""
     half = length // 2
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("p", pa.int32()), ("open", pa.bool_())])
+    schema = pa.schema([("g", pa.int64()), ("b", pa.int32()), ("core", pa.int64()), ("full", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("open", pa.bool_()), ("ws", pa.list_(pa.int64()))])
 
-    def windows(batches):
-        for b in batches:
-            wanted = b.column(3).to_pylist()
-            for i, text in enumerate(text_bytes(b.column(2))):
-                h = _Hashes(text)
-                parts = []
+    def blocks(batches):
+        for batch in batches:
+            wanted = batch.column(3).to_pylist()
+            for i, text in enumerate(text_bytes(batch.column(2))):
+                h, parts = _Hashes(text), []
                 for run in wanted[i]:
                     p = np.arange(run["s"], run["e"] + 1)
-                    parts.append((_mix(h.at(p, p + half)), _mix(h.at(p + half, p + length)), np.full(len(p), run["s"], np.int32), p.astype(np.int32), np.full(len(p), run["open"])))
-                k1, k2, s, p, o = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    b = (run["a"] - p) // STEP
+                    first = np.flatnonzero(np.diff(b, prepend=-1))
+                    last = np.append(first[1:], len(p)) - 1
+                    at = run["a"] - b[first] * STEP  # the last window start that the block may have; all its windows hold the bytes from here
+                    shape = ((run["a"] - p[first]) << 10 | (p[last] - p[first])).astype(np.uint64)
+                    ranks = _mix(_mix(h.at(p, p + half)) * np.uint64(3) + _mix(h.at(p + half, p + length)))  # the rank pair
+                    core = _mix(h.at(at, at - STEP + 1 + length))
+                    full = _mix(h.at(p[first], p[last] + length) ^ _mix(shape + np.uint64(1)))
+                    parts.append((np.full(len(first), run["g"]), b[first].astype(np.int32), core.view(np.int64), full.view(np.int64), p[first].astype(np.int32), np.full(len(first), run["open"]), first, last + 1, ranks.view(np.int64)))
+                g, b, core, full, p, o = (np.concatenate([x[k] for x in parts]) for k in range(6))
+                sizes = np.concatenate([x[7] - x[6] for x in parts])
+                ws = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([x[8] for x in parts])))
                 at = pa.array(np.full(len(p), i))
-                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(p), pa.array(o)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(b), pa.array(core), pa.array(full), batch.column(0).take(at), batch.column(1).take(at), pa.array(p), pa.array(o), ws], schema=schema)
 
-    return windows
+    return blocks
 
 
 def _cut(length: int):
@@ -162,28 +176,37 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
     `docs` has did, th (a key of the row's content; equal rows may share it) and text.
     """
     spark = docs.sparkSession
-    runs = scratch.save(docs.mapInArrow(_scan(length, gram), "did long, th long, s int, e int, g long, r long"), "runs")
+    runs = scratch.save(docs.mapInArrow(_scan(length, gram), "did long, th long, s int, e int, a int, g long, r long"), "runs")
     shared = runs.groupBy("g").agg(F.count("*").alias("n"), (F.min("r") != F.max("r")).alias("mixed")).where("n > 1").select("g", "mixed")
     left = scratch.save(runs.join(shared, "g"), "shared")
     scratch.drop(runs)
     tidy(spark)
-    distinct = scratch.save(left.groupBy("g", "r").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("did", "th", "s", "e")).alias("at")), "distinct")
+    distinct = scratch.save(left.groupBy("g", "r").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("did", "th", "s", "e", "a")).alias("at")), "distinct")
     whole = left.join(distinct.where("n > 1").select("g", "r"), ["g", "r"], "left_semi").select("did", "th", "s", "e")
     spans = scratch.save(whole, "whole")
     scratch.drop(left)
     # a pick that has a run not settled yet, and another run to compare it with: one copy of each of its runs
     loose = distinct.where("mixed").groupBy("g").agg(F.min("n").alias("least")).where("least = 1").select("g")
-    todo = distinct.where("mixed").join(loose, "g", "left_semi").select("at.*", (F.col("n") == 1).alias("open"))
-    todo = scratch.save(todo.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e", "open")).alias("runs")), "todo")
+    todo = distinct.where("mixed").join(loose, "g", "left_semi").select("at.*", "g", (F.col("n") == 1).alias("open"))
+    todo = scratch.save(todo.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e", "a", "g", "open")).alias("runs")), "todo")
     scratch.drop(distinct)
     tidy(spark)
     once = docs.join(todo, ["did", "th"]).select("did", "th", "text", "runs")
-    windows = scratch.save(once.mapInArrow(_windows(length), "k1 long, k2 long, did long, th long, s int, p int, open boolean"), "windows")
+    blocks = scratch.save(once.mapInArrow(_blocks(length), "g long, b int, core long, full long, did long, th long, p int, open boolean, ws array<bigint>"), "blocks")
     scratch.drop(todo)
     tidy(spark)
-    twice = windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("k1", "k2")
-    single = windows.where("open").join(twice, ["k1", "k2"], "left_semi")
-    edges = scratch.save(single.groupBy("did", "th", "s").agg(F.min("p").alias("a"), F.max("p").alias("z"), F.collect_list("p").alias("ps")), "edges")
+    same = ["g", "b", "core", "full"]
+    fulls = scratch.save(blocks.groupBy(*same).agg(F.count("*").alias("n"), F.max("open").alias("open")), "fulls")
+    settled = blocks.where("open").join(fulls.where("n > 1 and open").select(*same), same, "left_semi").select("did", "th", F.col("p").alias("s"), (F.col("p") + F.size("ws") - 1).alias("e"))
+    between = fulls.groupBy("g", "b", "core").agg(F.count("*").alias("k"), F.max(F.col("open") & (F.col("n") == 1)).alias("loose")).where("k > 1 and loose").select("g", "b", "core")
+    windows = blocks.join(between, ["g", "b", "core"], "left_semi").select("core", "did", "th", "p", "open", F.posexplode("ws").alias("i", "w"))
+    windows = scratch.save(windows.select("core", "w", "did", "th", F.col("p").alias("block"), (F.col("p") + F.col("i")).alias("p"), "open"), "windows")
+    spans = spans.unionByName(scratch.save(settled, "settled"))
+    scratch.drop(blocks, fulls)
+    tidy(spark)
+    twice = windows.groupBy("core", "w").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("core", "w")
+    single = windows.where("open").join(twice, ["core", "w"], "left_semi")
+    edges = scratch.save(single.groupBy("did", "th", "block").agg(F.min("p").alias("a"), F.max("p").alias("z"), F.collect_list("p").alias("ps")), "edges")
     scratch.drop(windows)
     plain = edges.where("z - a + 1 = size(ps)").select("did", "th", F.col("a").alias("s"), F.col("z").alias("e"))
     broken = edges.where("z - a + 1 <> size(ps)").select("did", "th", F.explode("ps").alias("s")).withColumn("e", F.col("s"))
