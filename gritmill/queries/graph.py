@@ -15,9 +15,9 @@ def naming_conflict(spark, d):
 _STATES = "['LOCAL_CLOSED', 'REQUIRES_SCOPE_EXPANSION', 'EXTERNAL_BOUNDARY', 'REJECTED']"
 
 
-@register("graph_merge", f"SELECT l_partkey AS canonical_id, min(l_returnflag) AS kind, CASE WHEN min(l_returnflag) <> max(l_returnflag) THEN 'REJECTED' ELSE {_STATES}[max(l_linenumber % 3 + 1)] END AS status FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_partkey")
+@register("graph_merge", f"SELECT l_partkey AS canonical_id, min(l_returnflag) AS kind, CASE WHEN min(l_returnflag) <> max(l_returnflag) THEN 'REJECTED' ELSE {_STATES}[max(l_linenumber % 3 + 1)] END AS status FROM lineitem GROUP BY l_partkey")
 def graph_merge(spark, d):
-    rows = tables(spark, d, "lineitem").where("l_orderkey % 50 = 0")
+    rows = tables(spark, d, "lineitem")
     nodes = rows.select(F.col("l_partkey").alias("canonical_id"), F.col("l_returnflag").alias("kind"), F.lit("n").alias("name"), F.element_at(F.array(*map(F.lit, g.STATES)), F.col("l_linenumber") % 3 + 1).alias("status"))
     return g.merge_nodes(nodes).select("canonical_id", "kind", "status")
 
@@ -71,9 +71,9 @@ def scope_search(spark, d):
     return g.scope(seeds, tables(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("k")), "k").select("s_suppkey", "rejection")
 
 
-@register("flow_link", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey > 100 THEN 'MISSING_NODE' WHEN l_suppkey % 100 > 50 THEN 'MISSING_TARGET' WHEN l_linenumber = 1 THEN 'BOUNDARY' END AS diagnostic FROM lineitem WHERE l_orderkey < 2000")
+@register("flow_link", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey > 100 THEN 'MISSING_NODE' WHEN l_suppkey % 100 > 50 THEN 'MISSING_TARGET' WHEN l_linenumber = 1 THEN 'BOUNDARY' END AS diagnostic FROM lineitem")
 def flow_link(spark, d):
-    rows = tables(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").alias("src"), (F.col("l_suppkey") % 100 - 1000).alias("dst"), (F.col("l_linenumber") == 1).alias("boundary"))
+    rows = tables(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").alias("src"), (F.col("l_suppkey") % 100 - 1000).alias("dst"), (F.col("l_linenumber") == 1).alias("boundary"))
     nodes = spark.range(0, 101).select(F.col("id").alias("canonical_id")).union(spark.range(-1000, -949))
     return g.link(rows, nodes).select("l_orderkey", "l_linenumber", "l_partkey", "diagnostic")
 

@@ -167,8 +167,8 @@ def orphans(spark, d):
     return q.orphans(tables(spark, d, "customer"), tables(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-_DIFF = """WITH a AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS s, max_by(o_orderpriority, o_orderkey) AS p FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey IS NOT NULL GROUP BY 1),
-b AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS s, max_by(o_orderpriority, o_orderkey) AS p FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey IS NOT NULL GROUP BY 1)
+_DIFF = """WITH a AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS s, max_by(o_orderpriority, o_orderkey) AS p FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01 00:00:00' AND o_custkey IS NOT NULL GROUP BY 1),
+b AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS s, max_by(o_orderpriority, o_orderkey) AS p FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND o_custkey IS NOT NULL GROUP BY 1)
 SELECT * FROM (SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'added' WHEN b.o_custkey IS NULL THEN 'removed' WHEN a.s IS DISTINCT FROM b.s OR a.p IS DISTINCT FROM b.p THEN 'changed' END AS change,
 CASE WHEN a.o_custkey IS NULL OR b.o_custkey IS NULL THEN '' ELSE concat_ws(', ', CASE WHEN a.s IS DISTINCT FROM b.s THEN 'status' END, CASE WHEN a.p IS DISTINCT FROM b.p THEN 'priority' END) END AS detail,
 a.s AS a_o_orderstatus, a.p AS a_o_orderpriority, b.s AS b_o_orderstatus, b.p AS b_o_orderpriority FROM a FULL JOIN b ON a.o_custkey = b.o_custkey) WHERE change IS NOT NULL"""
@@ -176,7 +176,8 @@ a.s AS a_o_orderstatus, a.p AS a_o_orderpriority, b.s AS b_o_orderstatus, b.p AS
 
 def _diff(spark, d):
     o = tables(spark, d, "orders")
-    return q.api_diff(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey", "o_orderkey", {"o_orderstatus": "status", "o_orderpriority": "priority"})
+    late = F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00'")
+    return q.api_diff(o.where(~late), o.where(late), "o_custkey", "o_orderkey", {"o_orderstatus": "status", "o_orderpriority": "priority"})
 
 
 @register("api_diff", _DIFF)
@@ -200,12 +201,12 @@ _NAMES = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 
 @register(
     "dead_code_text",
-    rf"""WITH d AS (SELECT doc_id, {_NAMES} AS w FROM documents WHERE n_chars < 3000), names AS (SELECT DISTINCT doc_id, w[1] AS name FROM d WHERE len(w) > 0),
+    rf"""WITH d AS (SELECT doc_id, {_NAMES} AS w FROM documents), names AS (SELECT DISTINCT doc_id, w[1] AS name FROM d WHERE len(w) > 0),
 imports AS (SELECT DISTINCT unnest(w[2:]) AS name FROM d WHERE len(w) > 0) SELECT doc_id FROM names WHERE name NOT IN (SELECT name FROM imports) AND NOT (strpos(name, '.') > 1 AND (regexp_replace(name, '\.[^.]*$', '') || '.*') IN (SELECT name FROM imports))""",
 )
 def dead_code_text(spark, d):
     w = F.filter(F.split("text", r"\s+", -1), lambda x: x != "")
-    docs = tables(spark, d, "documents").where("n_chars < 3000").select("doc_id", w.alias("w")).where("size(w) > 0")
+    docs = tables(spark, d, "documents").select("doc_id", w.alias("w")).where("size(w) > 0")
     return q.dead_code(docs.select("doc_id", F.slice("w", 1, 1).alias("names"), F.expr("slice(w, 2, size(w))").alias("imports")), "doc_id", "names", "imports")
 
 
@@ -220,10 +221,10 @@ def blob_contains(spark, d):
     return q.containing(c.select("conv_id").distinct(), c, "conv_id", "text", F.octet_length("text"), "tion")
 
 
-@register("skip_indexed", "SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")
+@register("skip_indexed", "SELECT DISTINCT text FROM documents WHERE source = 'src0' AND text NOT IN (SELECT text FROM documents WHERE source <> 'src0' AND text IS NOT NULL)")
 def skip_indexed(spark, d):
     docs = tables(spark, d, "documents")
-    return q.new_only(docs.where("doc_id % 2 = 1").select("text"), docs.where("doc_id % 2 = 0"), "text")
+    return q.new_only(docs.where("source = 'src0'").select("text"), docs.where("source <> 'src0'"), "text")
 
 
 @register("commit_exists", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -265,8 +266,8 @@ def known_vs_new(spark, d):
     return delta(tables(spark, d, "customer").select("c_custkey", "c_mktsegment"), tables(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@register("import_delta", "SELECT o_orderpriority AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 97 = 0")
+@register("import_delta", "SELECT o_orderpriority AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 450000")
 def import_delta(spark, d):
     o = tables(spark, d, "orders")
-    a, b = o.where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("k")), o.where("o_orderstatus = 'P' and o_orderkey % 97 = 0").select("o_orderpriority")
+    a, b = o.where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("k")), o.where("o_orderstatus = 'P' and o_totalprice > 450000").select("o_orderpriority")
     return a.subtract(b)

@@ -80,7 +80,7 @@ _MINED = {
     "validation": "CASE n_chars % 5 WHEN 0 THEN 'VALID' WHEN 1 THEN 'bad guard' WHEN 2 THEN 'XML expected' WHEN 3 THEN 'other' END",
     "category": "CASE WHEN lang = 'en' THEN 'clean' WHEN lang = 'de' THEN 'toxic' END",
 }
-_MINED_SQL = "SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in _MINED.items()) + " FROM documents WHERE doc_id % 13 <> 0"
+_MINED_SQL = "SELECT doc_id, " + ", ".join(f"{v} AS {k}" for k, v in _MINED.items()) + " FROM documents WHERE lang <> 'es'"
 _ERROR = "CASE WHEN regexp_matches(lower(m.validation), 'xml|<trigger|<import|syntax|parse') THEN 'DSL_SYNTAX' WHEN regexp_matches(lower(m.validation), 'istype|guard') THEN 'GUARD_WISSEN' ELSE 'INVALID_DSL_RULE' END"
 _BOTH = f"({_EVAL_SQL}) r LEFT JOIN ({_MINED_SQL}) m USING (doc_id)"
 _GO = "m.relevant IS NOT NULL AND NOT (r.relevant AND NOT m.relevant)"
@@ -97,7 +97,7 @@ _COMPARE = " UNION ALL ".join(
 
 
 def _compared(spark, d):
-    mined = tables(spark, d, "documents").where("doc_id % 13 <> 0").select(F.col("doc_id").alias("hash"), F.col("doc_id").alias("ord"), *(F.expr(v).alias(k) for k, v in _MINED.items()))
+    mined = tables(spark, d, "documents").where("lang <> 'es'").select(F.col("doc_id").alias("hash"), F.col("doc_id").alias("ord"), *(F.expr(v).alias(k) for k, v in _MINED.items()))
     return m.compare(evaluations(spark, d).withColumnRenamed("doc_id", "hash"), mined)
 
 
@@ -175,8 +175,8 @@ def candidate_status(spark, d):
     return pairs.withColumn("allowed", m.may_follow("source", "target"))
 
 
-_STORED = "SELECT o_custkey AS id, max(o_orderkey % 4) AS revision, min(o_orderpriority) AS fingerprint, CASE WHEN o_custkey % 10 = 0 THEN 'PROMOTED' ELSE 'DSL_VALID' END AS status FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey"
-_NEW = "SELECT o_custkey AS id, max(o_orderkey % 6) AS revision, max(o_orderpriority) AS fingerprint, 'DISCOVERED' AS status FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey"
+_STORED = "SELECT o_custkey AS id, max(o_orderkey % 4) AS revision, min(o_orderpriority) AS fingerprint, CASE WHEN o_custkey % 10 = 0 THEN 'PROMOTED' ELSE 'DSL_VALID' END AS status FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"
+_NEW = "SELECT o_custkey AS id, max(o_orderkey % 6) AS revision, max(o_orderpriority) AS fingerprint, 'DISCOVERED' AS status FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey"
 
 
 @register(
@@ -188,8 +188,8 @@ FROM (SELECT coalesce(a.id, b.id) AS id, a.id IS NOT NULL OR NULL AS o, b.id IS
 )
 def candidate_upsert(spark, d):
     o = tables(spark, d, "orders")
-    stored = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max(F.col("o_orderkey") % 4).alias("revision"), F.min("o_orderpriority").alias("fingerprint")).withColumn("status", F.when(F.col("id") % 10 == 0, "PROMOTED").otherwise("DSL_VALID"))
-    new = o.where("o_orderkey % 2 = 1").groupBy(F.col("o_custkey").alias("id")).agg(F.max(F.col("o_orderkey") % 6).alias("revision"), F.max("o_orderpriority").alias("fingerprint")).withColumn("status", F.lit("DISCOVERED"))
+    stored = o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.max(F.col("o_orderkey") % 4).alias("revision"), F.min("o_orderpriority").alias("fingerprint")).withColumn("status", F.when(F.col("id") % 10 == 0, "PROMOTED").otherwise("DSL_VALID"))
+    new = o.where("o_orderstatus <> 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.max(F.col("o_orderkey") % 6).alias("revision"), F.max("o_orderpriority").alias("fingerprint")).withColumn("status", F.lit("DISCOVERED"))
     return m.upsert_revisions(stored, new)
 
 

@@ -130,3 +130,57 @@ def variadic(spark, d):
 def overlapping_lines(spark, d):
     o = tables(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("a"), (F.col("o_custkey") % 5 + 1).alias("z"))
     return o.join(tables(spark, d, "lineitem"), (F.col("l_orderkey") == F.col("o_orderkey")) & F.col("l_linenumber").between(F.col("a"), F.col("z"))).select("o_orderkey", "l_linenumber")
+
+
+@register("ast_nodes")
+def ast_nodes(spark, d):
+    from gritmill.plans.nodes import nodes
+
+    return nodes(sources(spark, d), "p_partkey", "text")
+
+
+@register("ast_calls_outside_main")
+def ast_calls_outside_main(spark, d):
+    from gritmill.plans.nodes import NodeQuery, named, nodes
+
+    return NodeQuery(nodes(sources(spark, d), "p_partkey", "text"), "p_partkey").on("METHOD_CALL").not_inside("METHOD_DECLARATION", when=named("main")).df.select("p_partkey", "name", "line")
+
+
+@register("ast_methods_with_call")
+def ast_methods_with_call(spark, d):
+    from gritmill.plans.nodes import NodeQuery, named, nodes
+
+    q = NodeQuery(nodes(sources(spark, d), "p_partkey", "text"), "p_partkey")
+    return q.on("METHOD_DECLARATION").containing(q.on("METHOD_CALL").when(named("println")).df).df.select("p_partkey", "name", "line")
+
+
+@register("commit_diffs")
+def commit_diffs(spark, d):
+    from gritmill.operators.diffs import commit_diffs as diffs
+
+    s = sources(spark, d).select((F.col("p_partkey") % 50).cast("string").alias("commit"), "path", "text")
+    return diffs(s, s.withColumn("text", F.regexp_replace("text", "int n", "long n")))
+
+
+@register("infer_rules")
+def infer_rules(spark, d):
+    from gritmill.operators.diffs import inferred_rules
+
+    p = tables(spark, d, "part").select("p_partkey", F.format_string("new Integer(x%d)", F.col("p_size")).alias("before"), F.format_string("Integer.valueOf(x%d)", F.col("p_size")).alias("after"))
+    return inferred_rules(p)
+
+
+@register("equal_sequences")
+def equal_sequences(spark, d):
+    from gritmill.operators.diffs import canonical_sequence
+
+    p = tables(spark, d, "part").select("p_partkey", F.format_string("int a%d = b; f(a%d, b);", F.col("p_size"), F.col("p_size")).alias("t"))
+    return p.groupBy(canonical_sequence("t").alias("sequence")).agg(F.count("*").alias("n"))
+
+
+@register("nullness_stages")
+def nullness_stages(spark, d):
+    from gritmill.operators.diffs import nullness
+
+    p = tables(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "new A()").when(F.col("p_size") % 3 == 1, "m.get(k)").otherwise("v").alias("e"), F.when(F.col("p_size") % 2 == 0, "null").alias("i"), F.lit("").alias("c"), F.array().cast("array<string>").alias("a"))
+    return p.select("p_partkey", nullness("e", "i", "c", "a").alias("x")).select("p_partkey", "x.*")
