@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words:
     chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_train)  # the documented bound
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_features, "toxic int, words binary, sizes binary")
-    got = sorted(((r["toxic"], bytes(r["words"]), bytes(r["sizes"])) for r in rows.toLocalIterator()), key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
+    got = sorted(((r["toxic"], bytes(r["words"]), bytes(r["sizes"])) for r in rows.collect()), key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
     got = got[:: max(1, -(-sum(len(r[1]) // 4 for r in got) // max_words))]
     return fit([np.frombuffer(r[1], np.int32) for r in got], [np.frombuffer(r[2], np.int32) for r in got], np.array([r[0] for r in got], np.int64))
 
