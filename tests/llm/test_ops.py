@@ -174,6 +174,14 @@ def test_ego_join_repeated_and_null_ids(spark):
     assert not ego_join.ego_join(df.limit(0), Scratch(spark, "t")).collect()
 
 
+def test_ego_join_oracle(spark):
+    from gritmill.llm import queries
+    from tests import oracle
+
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        assert not oracle.differences(oracle.connect(sf), queries.op1_ego_join(spark, sf), queries.OP1_SQL)
+
+
 def test_ego_join_driver_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     want = brute.vectors([(r["vec_id"], r["embedding"], r["label"]) for r in df.collect()])
