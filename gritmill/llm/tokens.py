@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _SPACE = r"\x09-\x0d\x20"
 _PLAIN = re.compile(rf"[{_LETTERS}{_SPACE}!-;=-~]*")  # no "<": special tokens are found by the library
-_CACHE = 250_000
+_CACHE = 500_000
+_SPACES = re.compile(r"\s")
 _found: dict = {}
 
 
@@ -59,8 +61,7 @@ class Pieces:
         self.small: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        w = self.width
-        return b"".join([i.to_bytes(w, "little") for i in ids])
+        return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         found = self.small.get(part)
@@ -71,8 +72,8 @@ class Pieces:
             found = self.small[part] = self._pack([t.id for t in self.model.tokenize("".join([names[b] for b in part.encode()]))])
         return found
 
-    def _piece(self, piece) -> bytes:
-        found = self.old.get(piece)
+    def _piece(self, key, piece) -> bytes:
+        found = self.cache.get(key) or self.old.get(key)
         if found is None:
             text = piece.decode() if self.words else piece
             if _PLAIN.fullmatch(text):
@@ -80,14 +81,30 @@ class Pieces:
             else:
                 found = self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self.cache) >= _CACHE:
-            self.old, self.cache = self.cache, {}
-        self.cache[piece] = found
+            self.old = dict(self.cache)
+            self.cache.clear()  # the same dict stays, as callers hold its get
+        self.cache[key] = found
         return found
 
+    def _after_space(self, word: str) -> bytes:
+        """Ids of a blank and what stands before the next blank; white space in it is cut as in the whole text."""
+        if word and not _SPACES.search(word):
+            return self._piece(word, " " + word)
+        get = self.cache.get
+        return b"".join([(get(p[1:]) if p[0] == " " and len(p) > 1 else None) or self._piece(p[1:] if p[0] == " " and len(p) > 1 else "\n" + p, p) for p in self.split(" " + word)])
+
     def ids(self, text: bytes) -> bytes:
-        get, piece = self.cache.get, self._piece
-        pieces = text.split() if self.words else self.split(text.decode())
-        return b"".join([get(p) or piece(p) for p in pieces])
+        get = self.cache.get
+        if self.words:
+            piece = self._piece
+            return b"".join([get(p) or piece(p, p) for p in text.split()])
+        plain = text.decode()
+        if "  " in plain or plain[:1].isspace() or plain[-1:].isspace():
+            return b"".join([self._piece("\n" + p, p) for p in self.split(plain)])
+        # a blank belongs to the word after it: words after one blank are keyed without it, anything else after a line feed
+        after = self._after_space
+        first, *rest = plain.split(" ")
+        return b"".join([*(self._piece("\n" + p, p) for p in self.split(first)), *[get(w) or after(w) for w in rest]])
 
 
 def pieces(path: str) -> Pieces:
