@@ -178,8 +178,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
     spark = docs.sparkSession
     runs = scratch.save(docs.mapInArrow(_scan(length, gram), "did long, th long, s int, e int, a int, g long, r long"), "runs")
     shared = runs.groupBy("g").agg(F.count("*").alias("n"), (F.min("r") != F.max("r")).alias("mixed")).where("n > 1").select("g", "mixed")
+    # written first, so that both sides of the join are plain scans and Spark may split a pick that very many runs share
+    shared = scratch.save(shared, "picks")
     left = scratch.save(runs.join(shared, "g"), "shared")
-    scratch.drop(runs)
+    scratch.drop(runs, shared)
     tidy(spark)
     distinct = scratch.save(left.groupBy("g", "r").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("did", "th", "s", "e", "a")).alias("at")), "distinct")
     whole = left.join(distinct.where("n > 1").select("g", "r"), ["g", "r"], "left_semi").select("did", "th", "s", "e")
@@ -187,6 +189,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
     scratch.drop(left)
     # a pick that has a run not settled yet, and another run to compare it with: one copy of each of its runs
     loose = distinct.where("mixed").groupBy("g").agg(F.min("n").alias("least")).where("least = 1").select("g")
+    loose = scratch.save(loose, "loose")
     todo = distinct.where("mixed").join(loose, "g", "left_semi").select("at.*", "g", (F.col("n") == 1).alias("open"))
     todo = scratch.save(todo.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e", "a", "g", "open")).alias("runs")), "todo")
     scratch.drop(distinct)
@@ -199,12 +202,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: i
     fulls = scratch.save(blocks.groupBy(*same).agg(F.count("*").alias("n"), F.max("open").alias("open")), "fulls")
     settled = blocks.where("open").join(fulls.where("n > 1 and open").select(*same), same, "left_semi").select("did", "th", F.col("p").alias("s"), (F.col("p") + F.size("ws") - 1).alias("e"))
     between = fulls.groupBy("g", "b", "core").agg(F.count("*").alias("k"), F.max(F.col("open") & (F.col("n") == 1)).alias("loose")).where("k > 1 and loose").select("g", "b", "core")
+    between = scratch.save(between, "between")
     windows = blocks.join(between, ["g", "b", "core"], "left_semi").select("core", "did", "th", "p", "open", F.posexplode("ws").alias("i", "w"))
     windows = scratch.save(windows.select("core", "w", "did", "th", F.col("p").alias("block"), (F.col("p") + F.col("i")).alias("p"), "open"), "windows")
     spans = spans.unionByName(scratch.save(settled, "settled"))
     scratch.drop(blocks, fulls)
     tidy(spark)
     twice = windows.groupBy("core", "w").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("core", "w")
+    twice = scratch.save(twice, "twice")
     single = windows.where("open").join(twice, ["core", "w"], "left_semi")
     edges = scratch.save(single.groupBy("did", "th", "block").agg(F.min("p").alias("a"), F.max("p").alias("z"), F.collect_list("p").alias("ps")), "edges")
     scratch.drop(windows)
