@@ -59,19 +59,24 @@ def fit(words: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, ro
     share = float(labels.mean()) if len(labels) else 0.0
     if not 0 < share < 1:
         return weights, 20.0 if share == 1 else -20.0
-    token = np.concatenate(words)
     size = np.concatenate(sizes)
     doc_of = np.repeat(np.arange(len(labels)), [len(s) for s in sizes])
-    sent = np.repeat(np.arange(len(size)), size)
-    doc = doc_of[sent]
-    # buckets in fewer than min_docs documents tell nothing of others
-    pair = np.unique(token.astype(np.int64) * len(labels) + doc)
-    df = np.bincount(pair // len(labels), minlength=1 << BITS)
-    hits = np.bincount(pair[labels[pair % len(labels)] == 1] // len(labels), minlength=1 << BITS)
+    # buckets in fewer than min_docs documents tell nothing of others; document by document, as all features at once are large
+    df, hits = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for w, y in zip(words, labels.tolist(), strict=True):
+        seen = np.unique(w)
+        df[seen] += 1
+        hits[seen] += y
     # a noisy-or lives on evidence for: what occurs in toxic documents no more than by chance stays out
-    keep = ((df >= min_docs) & (hits > share * df + 2 * np.sqrt(share * (1 - share) * df)))[token]
-    used, column = np.unique(token[keep], return_inverse=True)
-    sent = sent[keep]
+    wanted = (df >= min_docs) & (hits > share * df + 2 * np.sqrt(share * (1 - share) * df))
+    tokens, places, first = [], [], 0
+    for w, s in zip(words, sizes, strict=True):
+        keep = np.flatnonzero(wanted[w])
+        tokens.append(w[keep])
+        places.append((first + np.searchsorted(np.cumsum(s), keep, side="right")).astype(np.int32))
+        first += len(s)
+    token, sent = np.concatenate(tokens), np.concatenate(places)
+    used, column = np.unique(token, return_inverse=True)
     w, bias = np.zeros(len(used)), float(np.log(share) - np.log(len(size) / len(labels)))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     positive = labels == 1
