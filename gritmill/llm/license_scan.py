@@ -3,14 +3,18 @@
 Templates are tokenised, and their five-word shingles winnowed (Schleimer et al., 2003) into an inverted index from
 fingerprint to (template, position). The index is built on the driver from the templates alone, whose total size is
 checked, and travels with the task. A document's shingles that the index knows vote for (template, diagonal); each voted
-diagonal band is aligned to the template, and matched words give coverage and a span in the document.
+diagonal band is aligned to the template, and matched words give coverage and a span in the document. Of matches of one
+template that overlap, the one with most matched words stays.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import defaultdict
+from heapq import heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -72,24 +76,82 @@ class Index:
         self.widths = sorted({len(s) for s in self.posts})
 
 
-def align(doc: list[int], template: list[int], band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first, end) of the longest common subsequence in a band about the diagonal; 0 words give (0, 0, 0)."""
-    n, m = len(doc), len(template)
-    best: dict[int, tuple[int, int, int]] = {}  # by template position: matched, first, end
-    for i in range(n):
-        new: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i - 2 * band), min(m, i + 1)):
-            a = best.get(j, (0, 0, 0))
-            b = new.get(j - 1, (0, 0, 0))
-            x = a if a[0] >= b[0] else b
-            if doc[i] == template[j]:
-                d = best.get(j - 1, (0, 0, 0))
-                y = (d[0] + 1, d[1] if d[0] else i, i + 1)
-                if y[0] > x[0]:
+def align(doc: list[int], template: list[int], low: int, high: int) -> tuple[int, int, int]:
+    """(matched words, first, end) of the longest common subsequence of pairs (i, j) with low <= i - j <= high.
+
+    Of the longest, the one with the shortest span in the document, the first such; 0 words give (0, 0, 0).
+    """
+    m, unit = len(template), 1 << 32
+    row = [0] * (m + 1)  # by template position: matched words * unit + the latest first word
+    best = (0, 0, 0)  # matched, -span, -first
+    for i, word in enumerate(doc):
+        if i - low < 0:
+            continue
+        start = max(0, i - high)
+        before = row[start]  # of the row above
+        left = before
+        for j in range(start, min(m, i - low + 1)):
+            x = above = row[j + 1]
+            if word == template[j]:
+                y = before + unit if before else unit + i
+                if y > x:
                     x = y
-            new[j] = x
-        best = new
-    return max(best.values(), default=(0, 0, 0), key=lambda x: (x[0], x[1] - x[2]))
+                    matched, first = divmod(y, unit)
+                    if matched >= best[0]:
+                        best = max(best, (matched, first - i - 1, -first))
+            if left > x:
+                x = left
+            row[j + 1] = left = x
+            before = above
+    matched, span, first = best
+    return matched, -first, -first - span
+
+
+def places(ids: list[int], template: list[int], diagonals: list[int], min_coverage: float) -> list[tuple[int, int, int]]:
+    """(matched words, first, end) of the template's matches about the voted diagonals, by best matched count; none overlap.
+
+    Diagonals within BAND of the first of a group share a band, which reaches BAND beyond them. What a better match leaves
+    of a band's words is aligned again, so that copies in a row are all found. A band with too few words of the template
+    to reach min_coverage is passed over, which loses nothing.
+    """
+    m = len(template)
+    vocabulary = set(template)
+    known = [0, *accumulate(x in vocabulary for x in ids)]
+    todo: list[tuple[int, int, int, int, int, int, int]] = []
+
+    def add(low: int, high: int, a: int, z: int) -> None:
+        if known[z] - known[a] >= min_coverage * m:
+            matched, first, end = align(ids[a:z], template, low - a, high - a)
+            if matched and matched >= min_coverage * m:
+                heappush(todo, (-matched, end - first, a + first, low, high, a, z))
+
+    groups: list[list[int]] = []
+    for d in sorted(diagonals):
+        if groups and d <= groups[-1][0] + BAND:
+            groups[-1][1] = d
+        else:
+            groups.append([d, d])
+    for lowest, highest in groups:
+        low, high = lowest - BAND, highest + BAND
+        add(low, high, max(0, low), min(len(ids), high + m))
+    found: list[tuple[int, int]] = []  # sorted spans, disjoint
+    out = []
+    while todo:
+        matched, span, first, low, high, a, z = heappop(todo)
+        end = first + span
+        at = bisect_left(found, (first, end))
+        if (at == 0 or found[at - 1][1] <= first) and (at == len(found) or found[at][0] >= end):
+            found.insert(at, (first, end))
+            out.append((-matched, first, end))
+        at = max(0, bisect_left(found, (a, a)) - 1)
+        while at < len(found) and found[at][0] < z:
+            if a < found[at][0]:
+                add(low, high, a, found[at][0])
+            a = max(a, found[at][1])
+            at += 1
+        if a < z:
+            add(low, high, a, z)
+    return out
 
 
 def scan(text: bytes, index: Index, min_coverage: float = 0.8) -> list[tuple[str, float, int, int, int]]:
@@ -98,28 +160,19 @@ def scan(text: bytes, index: Index, min_coverage: float = 0.8) -> list[tuple[str
     get = index.numbers.get
     ids = [get(w, 0) for w in words]
     known = np.array(ids, np.int64) > 0
-    votes: dict[tuple[int, int], int] = defaultdict(int)
+    votes: dict[int, set[int]] = defaultdict(set)
     for width in index.widths:
         if len(ids) < width:
             continue
         run = np.convolve(known, np.ones(width, int), "valid") if len(ids) else np.zeros(0)
         for i in np.flatnonzero(run == width).tolist():
             for t, j in index.posts.get(tuple(ids[i : i + width]), ()):
-                votes[t, i - j] += 1
+                votes[t].add(i - j)
     out = []
-    for t in sorted({t for t, _ in votes}):
-        template = index.words[t]
-        diagonals = sorted(d for u, d in votes if u == t)
-        at = None
-        for d in diagonals:
-            if at is not None and d < at + max(BAND, len(template) // 2):
-                continue  # the same place
-            at = d
-            a, z = max(0, d - BAND), min(len(ids), d + len(template) + BAND)
-            # the template's start lies up to 2 * BAND words after a
-            matched, first, end = align(ids[a:z], template)
-            if matched >= min_coverage * len(template):
-                out.append((index.names[t], matched / len(template), matched, spans[a + first][0], spans[a + end - 1][1]))
+    for t, diagonals in votes.items():
+        m = len(index.words[t])
+        for matched, first, end in places(ids, index.words[t], list(diagonals), min_coverage):
+            out.append((index.names[t], matched / m, matched, spans[first][0], spans[end - 1][1]))
     return sorted(out, key=lambda x: (x[3], -x[2], x[0]))
 
 

@@ -111,3 +111,14 @@ def ids(tokenizer, text, end):
 
 def crc(x):
     return zlib.crc32(np.asarray(x, "<u4").tobytes())
+
+
+def common_words(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]

@@ -256,6 +256,34 @@ def test_license(docs, table):
     assert {(i, lic) for i, t in texts_of(table).items() for line, lic in wanted.items() if line in t} <= found
 
 
+def test_license_every_place():
+    index, rng = license_scan.Index(license_scan.TEMPLATES), random.Random(11)
+
+    def found(words, name):
+        return [x[1:] for x in license_scan.scan(" ".join(words).encode(), index) if x[0] == name]
+
+    for name, text in license_scan.TEMPLATES.items():
+        template = [w.decode() for w in license_scan.tokens(text.encode())[0]]
+        m, size = len(template), len(" ".join(template))
+        for at in (0, 7, 8, 16, 17, 30, 1000):
+            words = ["qq"] * at + template + ["qq"] * 20
+            assert found(words, name) == [(1.0, m, 3 * at, 3 * at + size)], (name, at)
+            stray = template[: min(6, m - 1)] + ["qq"] * max(0, at - 6) + template
+            assert (1.0, m, len(" ".join(stray)) - size, len(" ".join(stray))) in found(stray, name), (name, at)
+        # copies in a row, all found
+        assert [x[1] for x in found(template * 9, name)] == [m] * 9, name
+        # edited copies, against an alignment without bands
+        for at in (0, 30):
+            edited = ["zz" if rng.random() < 0.05 else w for w in template if rng.random() > 0.03]
+            words = ["qq"] * at + edited + ["qq"] * 5
+            want = brute.common_words(words, template)
+            if want >= 0.8 * m and m > 20:
+                assert [x[1] for x in found(words, name)] == [want], (name, at)
+    bsd = [w.decode() for w in license_scan.tokens(license_scan.TEMPLATES["BSD-clauses"].encode())[0]]
+    # the text begins within the template
+    assert found(bsd[12:] + ["qq"] * 9, "BSD-clauses") == [(56 / 68, 56, 0, len(" ".join(bsd[12:])))]
+
+
 @pytest.mark.parametrize("name", ["docs", "table", "odd"])
 def test_packing(request, name):
     df = request.getfixturevalue(name)
