@@ -21,10 +21,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash group; rows without doc_id are in no group and stay."""
-    groups = simhash.simhash_groups(docs, Scratch(spark, "pipeline"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each SimHash group of rows: the one with the smallest doc_id (null last), then hashes of text and row.
+
+    Every row is grouped by its own text (told by its hash), whether its doc_id is null or repeated.
+    """
+    rows = docs.withColumn("near_t", F.xxhash64("text")).withColumn("near_r", F.xxhash64(*docs.columns))
+    groups = simhash.simhash_groups(rows, Scratch(spark, "pipeline"), id_col="near_t").select(F.col("doc_id").alias("near_t"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "near_t", "near_r")
+    least = rows.groupBy("near_t").agg(F.min(order).alias("o"))
+    first = least.join(groups, "near_t").groupBy("component_id").agg(F.min("o").alias("o")).select("o.near_t", "o.near_r")
+    # of rows equal in all columns one stays
+    return rows.join(first, ["near_t", "near_r"], "left_semi").dropDuplicates(["near_t", "near_r"]).select(*docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -437,3 +437,15 @@ def test_pipeline_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd.limit(0), "").collect()
         stage(spark, odd, "").collect()
+
+
+def test_pipeline_near_copies_of_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    def kept(df):
+        return sorted((r["doc_id"] or -1, r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, df, "").collect())
+
+    assert kept(odd) == [(-1, ""), (3, _LONG), (3, "other text")]
+    near = spark.createDataFrame([(None, _LONG + " more"), (None, _LONG), (None, "alone"), (None, "alone")], "doc_id long, text string")
+    groups = {c for _, c in brute.simhash(enumerate([_LONG + " more", _LONG, "alone"])).values()}
+    assert len(kept(near)) == len(groups) and kept(near) == kept(near.repartition(3))
