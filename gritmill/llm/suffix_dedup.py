@@ -1,39 +1,55 @@
-"""Exact removal of repeated byte strings by distributed prefix doubling over sparse positions.
-
-A string of `length` bytes (400) is repeated if it starts at two places or more. Ranks of prefixes are doubled until
-they are unique or reach the threshold; ranks are Karp-Rabin fingerprints, which name an equivalence class as a dense
-rank does and need no renumbering between rounds, so that Spark only sorts and counts them:
-
-1. Every window of `length` bytes picks the least of its 100-byte prefixes (by a hash; the leftmost on ties). The choice
-   depends on the window's content alone, so equal windows pick the same 100 bytes at the same offset, and about one
-   position in 150 is ever picked. Neighbouring windows with the same pick form a run. Ranks at length 100 of the picks
-   are counted; a run whose pick is unique holds no repeated window and goes at once. Most of the corpus goes here.
-2. Whole runs (the pick, its offset and the content hash): a run that occurs twice has all its windows repeated. This
-   settles the inside of long copies with one row a run.
-3. What is left shares its pick with a different run. Such runs, one copy of each, are cut into blocks of 16 windows at
-   fixed offsets from the pick. The bytes common to a block's windows are ranked: if unique, none of its windows is
-   repeated. A block whose whole content occurs twice has all its windows repeated. In the few blocks between, windows are
-   told apart at the threshold by the rank pair (rank of 200 bytes at p, rank of 200 bytes at p + 200).
-
-Counts aggregate on the map side and hits come back over joins that Spark may split, so a passage that a third of all
-documents share falls into no single task.
+"""Exact removal of repeated byte strings by distributed prefix doubling over content-picked positions.
+
+A string of `length` bytes (400) is repeated if it starts at two places or more. The same machine, on words instead of
+bytes, finds passages of over 50 words that two documents share. Texts that are equal are taken once, with their number.
+
+1. Positions. Every stretch of WINDOW grams of GRAM symbols picks its least gram (by a hash; the leftmost on ties). About
+   one position in 75 bytes is ever picked. The choice depends on content alone: equal strings pick equal positions, and
+   from a picked position on they have the same following ones. The text from one pick to the end of the next pick's gram
+   is a phrase.
+2. Doubling. Phrases are sorted and ranked; positions with a phrase of their own are dropped. Then, round by round, each
+   position is paired with the position 1, 2, 4, ... phrases ahead: Spark counts and sorts the (rank, rank ahead) pairs,
+   gives new ranks in sorted order, and drops positions that have become unique or whose prefix is past the threshold.
+3. Runs. Neighbouring windows of the threshold's length with the same first pick form a run. It is judged by the last rank
+   that all its windows hold: if that is unique, it never reaches this step, as most of the corpus doesn't. A run whose
+   whole content occurs twice has all its windows repeated. That settles the inside of long copies with one row a run.
+4. What is left differs near its ends from all runs of its rank. Such runs, one copy of each, are cut into blocks of a few
+   windows at fixed offsets from the pick. The symbols common to a block's windows are counted: if unique, none of its
+   windows is repeated. A block whose whole content occurs twice has all its windows repeated. In the few blocks between,
+   windows are told apart by the rank pair (first half, second half).
+
+Fingerprints of 64 bits stand for contents of phrases, runs, blocks and halves. Counts aggregate on the map side and hits
+come back over joins of written tables that Spark may split, so a passage that a third of all documents share falls into no
+single task.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gritmill.llm.common import Scratch, text_bytes, tidy
 
-#: Windows in a block of step 3.
-STEP = 16
+
+class Unit(NamedTuple):
+    """What is counted. 2 * window + gram must not exceed length + 1, so that each string of that length holds a phrase."""
+
+    length: int
+    gram: int
+    window: int
+    step: int  # windows in a block of step 4
+
+
+#: Bytes, and words: unit 0 and unit 1.
+BYTES, WORDS = Unit(400, 100, 150, 16), Unit(51, 6, 22, 8)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -54,13 +70,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes:
-    """Fingerprints of all substrings of one text, from prefix sums."""
+    """Fingerprints of all strings of one sequence of symbols, from prefix sums."""
 
-    def __init__(self, text: bytes):
-        n = len(text)
+    def __init__(self, symbols: np.ndarray):
+        n = len(symbols)
         up, self.down = _power(n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[np.frombuffer(text, np.uint8)] * up[:n], out=self.sums[1:])
+        self.n, self.sums = n, np.zeros(n + 1, np.uint64)
+        np.cumsum(symbols * up[:n], out=self.sums[1:])
 
     def each(self, length: int) -> np.ndarray:
         """Of the strings of this length at every position."""
@@ -71,6 +87,14 @@ class _Hashes:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]
 
 
+def _hashes(text: bytes) -> list[_Hashes]:
+    """Of a text's bytes and of its words."""
+    raw = np.frombuffer(text, np.uint8)
+    of_bytes = _Hashes(_BYTE[raw])
+    edge = np.diff(_BLANK[raw].astype(np.int8), prepend=1, append=1)
+    return [of_bytes, _Hashes(_mix(of_bytes.at(np.flatnonzero(edge == -1), np.flatnonzero(edge == 1))))]
+
+
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours, by block-wise running minima (van Herk)."""
     n = len(x)
@@ -82,154 +106,282 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs_of(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with the same pick: first and last window start, the pick, its rank, rank of the whole run."""
-    h = _Hashes(text)
-    grams = h.each(gram)
-    order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-    picks = (_sliding_min(order, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(picks)) + 1
-    first = np.concatenate(([0], cut))
-    last = np.concatenate((cut, [len(picks)])) - 1
-    pick = picks[first]
-    shape = ((last - first) << 20 | (pick - first)).astype(np.uint64)
-    return first, last, pick, grams[pick].view(np.int64), _mix(h.at(first, last + length) ^ _mix(shape + np.uint64(1))).view(np.int64)
+class Picks(NamedTuple):
+    """Of each picked position: itself, length and fingerprint of its phrase, first and last window of its run (last before
+    first: none), number of phrases that all its windows hold, and the fingerprint of the run."""
 
+    a: np.ndarray
+    len: np.ndarray
+    g: np.ndarray
+    s: np.ndarray
+    e: np.ndarray
+    m: np.ndarray
+    r: np.ndarray
 
-def _scan(length: int, gram: int):
-    schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("a", pa.int32()), ("g", pa.int64()), ("r", pa.int64())])
 
-    def scan(batches):
-        for b in batches:
-            rows: list[tuple] = []
-            for i, text in enumerate(text_bytes(b.column(2))):
-                if len(text) >= length:
-                    s, e, a, g, r = runs_of(text, length, gram)
-                    rows.append((np.full(len(s), i), s, e, a, g, r))
-            if rows:
-                i, s, e, a, g, r = (np.concatenate(x) for x in zip(*rows, strict=True))
-                at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (s, e, a)), pa.array(g), pa.array(r)], schema=schema)
-
-    return scan
-
-
-def _blocks(length: int):
-    """Cuts runs into blocks of at most STEP windows, at multiples of STEP before the pick, each with its windows' ranks."""
-    half = length // 2
-    schema = pa.schema([("g", pa.int64()), ("b", pa.int32()), ("core", pa.int64()), ("full", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("p", pa.int32()), ("open", pa.bool_()), ("ws", pa.list_(pa.int64()))])
-
-    def blocks(batches):
-        for batch in batches:
-            wanted = batch.column(3).to_pylist()
-            for i, text in enumerate(text_bytes(batch.column(2))):
-                h, parts = _Hashes(text), []
-                for run in wanted[i]:
-                    p = np.arange(run["s"], run["e"] + 1)
-                    b = (run["a"] - p) // STEP
-                    first = np.flatnonzero(np.diff(b, prepend=-1))
-                    last = np.append(first[1:], len(p)) - 1
-                    at = run["a"] - b[first] * STEP  # the last window start that the block may have; all its windows hold the bytes from here
-                    shape = ((run["a"] - p[first]) << 10 | (p[last] - p[first])).astype(np.uint64)
-                    ranks = _mix(_mix(h.at(p, p + half)) * np.uint64(3) + _mix(h.at(p + half, p + length)))  # the rank pair
-                    core = _mix(h.at(at, at - STEP + 1 + length))
-                    full = _mix(h.at(p[first], p[last] + length) ^ _mix(shape + np.uint64(1)))
-                    parts.append((np.full(len(first), run["g"]), b[first].astype(np.int32), core.view(np.int64), full.view(np.int64), p[first].astype(np.int32), np.full(len(first), run["open"]), first, last + 1, ranks.view(np.int64)))
-                g, b, core, full, p, o = (np.concatenate([x[k] for x in parts]) for k in range(6))
-                sizes = np.concatenate([x[7] - x[6] for x in parts])
-                ws = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([x[8] for x in parts])))
-                at = pa.array(np.full(len(p), i))
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(b), pa.array(core), pa.array(full), batch.column(0).take(at), batch.column(1).take(at), pa.array(p), pa.array(o), ws], schema=schema)
-
-    return blocks
-
-
-def _cut(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+def picks_of(h: _Hashes, unit: Unit, mark: int = 0) -> Picks:
+    """The picked positions of a sequence that have a next one; the sequence has a window of the unit's length.
 
-    def cut(batches):
-        for b in batches:
-            found = b.column(2).to_pylist()
-            out = []
-            for i, text in enumerate(text_bytes(b.column(1))):
-                spans: list[list[int]] = []
-                for a, z in sorted((x["s"], x["e"]) for x in found[i] or ()):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], z + length)
-                    else:
-                        spans.append([a, z + length])
-                kept, at = hashlib.sha256(), 0
-                for a, z in spans:
-                    kept.update(text[at:a])
-                    at = z
-                kept.update(text[at:])
-                out.append((len(text), sum(z - a for a, z in spans), len(spans), kept.hexdigest(), [{"start": a, "end": z} for a, z in spans]))
-            n, removed, count, digest, spans = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, f.type) for x, f in zip((n, removed, count, digest, spans), list(schema)[1:], strict=True))], schema=schema)
-
-    return cut
+    mark is the lowest bit of all phrases' fingerprints.
+    """
+    grams = h.each(unit.gram)
+    order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
+    first = (_sliding_min(order, unit.window) & np.uint64(0xFFFFFFFF)).astype(np.int64)  # the pick of the stretch that begins here
+    s = np.concatenate(([0], np.flatnonzero(np.diff(first)) + 1))
+    a = first[s]
+    nexts = np.full(len(a) + 1, len(a))  # by index; the last one has none and leads to itself
+    on = np.flatnonzero(a + 1 < len(first))
+    nexts[on] = np.searchsorted(a, first[a[on] + 1])
+    at = np.append(a, 1 << 60)
+    e = np.minimum(np.append(s[1:], len(first)) - 1, h.n - unit.length)
+    # how many phrases all windows of the run hold, with the whole stretch that each next pick is taken from: by jumps of
+    # powers of two
+    jumps = [nexts]
+    while at[jumps[-1][:-1]].min() <= h.n and (1 << len(jumps)) <= unit.length:
+        jumps.append(jumps[-1][jumps[-1]])
+    m, here = np.ones(len(a), np.int64), np.arange(len(a))
+    for k in reversed(range(len(jumps))):
+        there = jumps[k][here]
+        fits = at[there] + unit.window + unit.gram <= s + unit.length
+        here, m = np.where(fits, there, here), m + (fits.astype(np.int64) << k)
+    kept = np.flatnonzero(nexts[:-1] < len(a))
+    a, s, e, m, to = a[kept], s[kept], e[kept], m[kept], at[nexts[kept]]
+    whole = h.at(s, np.minimum(np.maximum(e, s) + unit.length, h.n))
+    shape = ((a - s) << 20 | np.maximum(e - s, 0)).astype(np.uint64)
+    g = _mix(h.at(a, to + unit.gram)) & np.uint64(_MASK - 1) | np.uint64(mark)
+    return Picks(a, to + unit.gram - a, g.view(np.int64), s, e, np.where(e < s, 0, m), _mix(whole ^ _mix(shape + np.uint64(1))).view(np.int64))
+
+
+#: u is twice the text's number, plus 1 for words; back and fore are the distances from a back to s and to e.
+POSITIONS = "u long, a int, len int, g long, back int, fore int, m int, r long"
+_BATCH = 200_000  # rows of one record batch, about
+
+
+def _batches(batches, schema: pa.Schema, rows_of):
+    """Record batches of what `rows_of` gives for each row: lists of tuples of arrays (lists of arrays are list values)."""
+    rows, n = [], 0
+    for batch in batches:
+        for row in rows_of(batch):
+            rows.append(row)
+            n += len(row[0])
+            if n >= _BATCH:
+                yield _record(rows, schema)
+                rows, n = [], 0
+    if rows:
+        yield _record(rows, schema)
+
+
+def _record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = []
+    for x, field in zip(zip(*rows, strict=True), schema, strict=True):
+        if pa.types.is_list(field.type):
+            sizes, values = np.concatenate([p[0] for p in x]), np.concatenate([p[1] for p in x])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values)))
+        else:
+            columns.append(pa.array(np.concatenate(x).astype(field.type.to_pandas_dtype(), copy=False)))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _scan(units: tuple[Unit, ...]):
+    schema = pa.schema([("u", pa.int64()), ("a", pa.int32()), ("len", pa.int32()), ("g", pa.int64()), ("back", pa.int32()), ("fore", pa.int32()), ("m", pa.int32()), ("r", pa.int64())])
+
+    def rows_of(batch):
+        for t, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            for k, (h, unit) in enumerate(zip(_hashes(text) if text else (), units, strict=False)):
+                if h.n >= unit.length:
+                    p = picks_of(h, unit, k)
+                    yield np.full(len(p.a), 2 * t + k), p.a, p.len, p.g, p.a - p.s, p.a - p.e, p.m, p.r
+
+    return lambda batches: _batches(batches, schema, rows_of)
+
+
+def _ranked(scratch: Scratch, df: DataFrame, *key: str) -> DataFrame:
+    """The key's values that occur twice or more, with their rank `new`: a long that grows in sorted order.
+
+    Values are counted on the map side and sorted once each, so a value that very many rows have is one row here.
+    """
+    twice = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return scratch.save(twice.orderBy(*key).withColumn("new", F.monotonically_increasing_id()), "ranks")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 400, gram: int = 100) -> DataFrame:
-    """(did, th, s, e): window starts s to e (inclusive) in the rows with this key are starts of repeated strings.
+def doubled(scratch: Scratch, positions: DataFrame, units: tuple[Unit, ...], rounds: list | None = None) -> DataFrame:
+    """Runs (u, a, back, fore, r, g) with a window whose longest doubled prefix occurs elsewhere; g is the first phrase's rank.
 
-    `docs` has did, th (a key of the row's content; equal rows may share it) and text.
+    Equal windows have the same first phrase but their runs may hold more or less after it, so g tells which runs are to be
+    compared, and the later rounds which are left. `rounds`, if given, gets each round's table, which then stays.
     """
-    spark = docs.sparkSession
-    runs = scratch.save(docs.mapInArrow(_scan(length, gram), "did long, th long, s int, e int, a int, g long, r long"), "runs")
-    shared = runs.groupBy("g").agg(F.count("*").alias("n"), (F.min("r") != F.max("r")).alias("mixed")).where("n > 1").select("g", "mixed")
-    # written first, so that both sides of the join are plain scans and Spark may split a pick that very many runs share
-    shared = scratch.save(shared, "picks")
-    left = scratch.save(runs.join(shared, "g"), "shared")
-    scratch.drop(runs, shared)
+    rest = ["back", "fore", "m", "r", "cls"]
+    unit = lambda f: F.when(F.col("u") % 2 == 0, getattr(units[0], f)).otherwise(getattr(units[-1], f))
+    ranks = _ranked(scratch, positions, "g")
+    # the lowest bit of a class tells bytes from words, as that of a fingerprint does
+    live = scratch.save(positions.join(ranks, "g").withColumn("cls", F.col("new") * 2 + F.col("u") % 2).select("u", "a", "len", F.col("new").alias("rank"), *rest), "live")
+    scratch.drop(positions, ranks)
+    runs, k = [], 0
+    while True:
+        if rounds is not None:
+            rounds.append(live)
+        runs.append(scratch.save(live.where((F.col("m") >= 1 << k) & (F.col("m") < 2 << k)).select("u", "a", "back", "fore", "r", F.col("cls").alias("g")), "runs"))
+        if not live.where(F.col("m") >= 2 << k).head(1):
+            break
+        ahead = live.select("u", F.col("a").alias("to"), F.col("len").alias("more"), F.col("rank").alias("ahead"))
+        pairs = live.withColumn("to", F.col("a") + F.col("len") - unit("gram")).join(ahead, ["u", "to"])
+        pairs = pairs.withColumn("len", F.col("len") + F.col("more") - unit("gram")).where(F.col("len") <= unit("length"))
+        pairs = scratch.save(pairs.select("u", "a", "len", "rank", "ahead", *rest), "pairs")
+        ranks = _ranked(scratch, pairs, "rank", "ahead")
+        after = scratch.save(pairs.join(ranks, ["rank", "ahead"]).select("u", "a", "len", F.col("new").alias("rank"), *rest), "live")
+        scratch.drop(pairs, ranks, *([] if rounds is not None else [live]))
+        live, k = after, k + 1
+    if rounds is None:
+        scratch.drop(live)
+    out = runs[0]
+    for x in runs[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _blocks(units: tuple[Unit, ...]):
+    """Cuts runs into blocks of at most `step` windows, at multiples of it before the pick, each with its windows' rank pairs."""
+    schema = pa.schema([("g", pa.int64()), ("b", pa.int32()), ("core", pa.int64()), ("full", pa.int64()), ("u", pa.int64()), ("p", pa.int32()), ("open", pa.bool_()), ("ws", pa.list_(pa.int64()))])
+
+    def rows_of(batch):
+        for t, text, runs in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            hashes = _hashes(text)
+            for run in runs:
+                k = run["g"] & 1
+                h, unit, a = hashes[k], units[k], run["a"]
+                length, half, step = unit.length, unit.length // 2, unit.step
+                p = np.arange(a - run["back"], a - run["fore"] + 1)
+                b = (a - p) // step
+                first = np.flatnonzero(np.diff(b, prepend=-1))
+                last = np.append(first[1:], len(p)) - 1
+                at = a - b[first] * step  # the last window start that the block may have; all its windows hold the symbols from here
+                shape = ((a - p[first]) << 10 | (p[last] - p[first])).astype(np.uint64)
+                ranks = _mix(_mix(h.at(p, p + half)) * np.uint64(3) + _mix(h.at(p + half, p + length)))  # the rank pair
+                core = _mix(h.at(at, at - step + 1 + length))
+                full = _mix(h.at(p[first], p[last] + length) ^ _mix(shape + np.uint64(1)))
+                n = len(first)
+                yield np.full(n, run["g"]), b[first], core.view(np.int64), full.view(np.int64), np.full(n, 2 * t + k), p[first], np.full(n, run["open"]), (last + 1 - first, ranks.view(np.int64))
+
+    return lambda batches: _batches(batches, schema, rows_of)
+
+
+def _again(key: str) -> Column:
+    """Whether what has been counted (n, and u from `least` to `most`) occurs again: anywhere for bytes, in another text for words."""
+    return F.when(F.col(key).bitwiseAND(F.lit(1)) == 0, F.col("n") > 1).otherwise(F.col("least") != F.col("most"))
+
+
+def _counts() -> list[Column]:
+    return [F.count("*").alias("n"), F.min("u").alias("least"), F.max("u").alias("most")]
+
+
+def repeated_spans(texts: DataFrame, scratch: Scratch, units: tuple[Unit, ...] = (BYTES, WORDS)) -> DataFrame:
+    """(u, s, e): windows s to e (inclusive) of text u div 2 start repeated strings, of bytes (u even) or words (u odd).
+
+    `texts` has t (a number of its own for each row), and text; no two texts are equal.
+    """
+    spark = texts.sparkSession
+    left = doubled(scratch, scratch.save(texts.mapInArrow(_scan(units), POSITIONS), "positions"), units)
     tidy(spark)
-    distinct = scratch.save(left.groupBy("g", "r").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("did", "th", "s", "e", "a")).alias("at")), "distinct")
-    whole = left.join(distinct.where("n > 1").select("g", "r"), ["g", "r"], "left_semi").select("did", "th", "s", "e")
-    spans = scratch.save(whole, "whole")
+    distinct = left.groupBy("g", "r").agg(*_counts(), F.min(F.struct("u", "a", "back", "fore")).alias("at"))
+    distinct = scratch.save(distinct.withColumn("again", _again("g")).drop("n", "least", "most"), "distinct")
+    whole = left.join(distinct.where("again").select("g", "r"), ["g", "r"], "left_semi")
+    spans = scratch.save(whole.select("u", (F.col("a") - F.col("back")).alias("s"), (F.col("a") - F.col("fore")).alias("e")), "whole")
     scratch.drop(left)
-    # a pick that has a run not settled yet, and another run to compare it with: one copy of each of its runs
-    loose = distinct.where("mixed").groupBy("g").agg(F.min("n").alias("least")).where("least = 1").select("g")
+    # a phrase that has a run not settled yet, and another run to compare it with: one copy of each of its runs
+    loose = distinct.groupBy("g").agg(F.count("*").alias("n"), F.min("again").alias("settled")).where("n > 1 and not settled").select("g")
     loose = scratch.save(loose, "loose")
-    todo = distinct.where("mixed").join(loose, "g", "left_semi").select("at.*", "g", (F.col("n") == 1).alias("open"))
-    todo = scratch.save(todo.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e", "a", "g", "open")).alias("runs")), "todo")
-    scratch.drop(distinct)
+    todo = distinct.join(loose, "g", "left_semi").select("at.*", "g", (~F.col("again")).alias("open"))
+    todo = scratch.save(todo.groupBy(F.shiftright("u", 1).alias("t")).agg(F.collect_list(F.struct("a", "back", "fore", "g", "open")).alias("runs")), "todo")
+    scratch.drop(distinct, loose)
     tidy(spark)
-    once = docs.join(todo, ["did", "th"]).select("did", "th", "text", "runs")
-    blocks = scratch.save(once.mapInArrow(_blocks(length), "g long, b int, core long, full long, did long, th long, p int, open boolean, ws array<bigint>"), "blocks")
+    once = texts.join(todo, "t").select("t", "text", "runs")
+    blocks = scratch.save(once.mapInArrow(_blocks(units), "g long, b int, core long, full long, u long, p int, open boolean, ws array<bigint>"), "blocks")
     scratch.drop(todo)
     tidy(spark)
     same = ["g", "b", "core", "full"]
-    fulls = scratch.save(blocks.groupBy(*same).agg(F.count("*").alias("n"), F.max("open").alias("open")), "fulls")
-    settled = blocks.where("open").join(fulls.where("n > 1 and open").select(*same), same, "left_semi").select("did", "th", F.col("p").alias("s"), (F.col("p") + F.size("ws") - 1).alias("e"))
-    between = fulls.groupBy("g", "b", "core").agg(F.count("*").alias("k"), F.max(F.col("open") & (F.col("n") == 1)).alias("loose")).where("k > 1 and loose").select("g", "b", "core")
+    fulls = blocks.groupBy(*same).agg(*_counts(), F.max("open").alias("open")).withColumn("again", _again("g"))
+    fulls = scratch.save(fulls.drop("n", "least", "most"), "fulls")
+    settled = blocks.where("open").join(fulls.where("again and open").select(*same), same, "left_semi").select("u", F.col("p").alias("s"), (F.col("p") + F.size("ws") - 1).alias("e"))
+    between = fulls.groupBy("g", "b", "core").agg(F.count("*").alias("k"), F.max(F.col("open") & ~F.col("again")).alias("loose")).where("k > 1 and loose").select("g", "b", "core")
     between = scratch.save(between, "between")
-    windows = blocks.join(between, ["g", "b", "core"], "left_semi").select("core", "did", "th", "p", "open", F.posexplode("ws").alias("i", "w"))
-    windows = scratch.save(windows.select("core", "w", "did", "th", F.col("p").alias("block"), (F.col("p") + F.col("i")).alias("p"), "open"), "windows")
+    windows = blocks.join(between, ["g", "b", "core"], "left_semi").select("g", "core", "u", "p", "open", F.posexplode("ws").alias("i", "w"))
+    windows = scratch.save(windows.select("g", "core", "w", "u", F.col("p").alias("block"), (F.col("p") + F.col("i")).alias("p"), "open"), "windows")
     spans = spans.unionByName(scratch.save(settled, "settled"))
-    scratch.drop(blocks, fulls)
+    scratch.drop(blocks, fulls, between)
     tidy(spark)
-    twice = windows.groupBy("core", "w").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("core", "w")
+    key = ["g", "core", "w"]
+    twice = windows.groupBy(*key).agg(*_counts(), F.max("open").alias("open")).where(F.col("open") & _again("g")).select(*key)
     twice = scratch.save(twice, "twice")
-    single = windows.where("open").join(twice, ["core", "w"], "left_semi")
-    edges = scratch.save(single.groupBy("did", "th", "block").agg(F.min("p").alias("a"), F.max("p").alias("z"), F.collect_list("p").alias("ps")), "edges")
-    scratch.drop(windows)
-    plain = edges.where("z - a + 1 = size(ps)").select("did", "th", F.col("a").alias("s"), F.col("z").alias("e"))
-    broken = edges.where("z - a + 1 <> size(ps)").select("did", "th", F.explode("ps").alias("s")).withColumn("e", F.col("s"))
+    single = windows.where("open").join(twice, key, "left_semi")
+    edges = scratch.save(single.groupBy("u", "block").agg(F.min("p").alias("a"), F.max("p").alias("z"), F.collect_list("p").alias("ps")), "edges")
+    scratch.drop(windows, twice)
+    plain = edges.where("z - a + 1 = size(ps)").select("u", F.col("a").alias("s"), F.col("z").alias("e"))
+    broken = edges.where("z - a + 1 <> size(ps)").select("u", F.explode("ps").alias("s")).withColumn("e", F.col("s"))
     return spans.unionByName(plain).unionByName(broken)
 
 
-def suffix_dedup(docs: DataFrame, scratch: Scratch, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte offsets).
+def _merged(found: list[tuple[int, int]], length: int) -> list[list[int]]:
+    """Spans [start, end) that the windows cover, those that touch joined."""
+    spans: list[list[int]] = []
+    for s, e in sorted(found):
+        if spans and s <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], e + length)
+        else:
+            spans.append([s, e + length])
+    return spans
+
+
+CUT = "th long, tj long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>, n_passages long, n_passage_words long"
+
+
+def _cut(units: tuple[Unit, ...]):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = [pa.int64()] * 5 + [pa.string(), span] + [pa.int64()] * 2
+    names = [x.split()[0] for x in CUT.split(", ") if x.split()[0] != "end:"]
+
+    def cut(batches):
+        for b in batches:
+            copied, found, out = b.column(3).to_pylist(), b.column(4).to_pylist(), []
+            for th, tj, text, twice, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), copied, found, strict=True):
+                sizes = (len(text), len(text.split()) if twice else 0)
+                if twice:  # a text that is there twice: all its windows are repeated
+                    runs = [{"k": k, "s": 0, "e": n - u.length} for k, (n, u) in enumerate(zip(sizes, units, strict=False)) if n >= u.length]
+                spans, passages = (_merged([(x["s"], x["e"]) for x in runs or () if x["k"] == k], u.length) for k, u in enumerate((units[0], units[-1])))
+                kept, at = hashlib.sha256(), 0
+                for a, z in spans:
+                    kept.update(text[at:a])
+                    at = z
+                kept.update(text[at:])
+                out.append((th, tj, len(text), sum(z - a for a, z in spans), len(spans), kept.hexdigest(), [{"start": a, "end": z} for a, z in spans], len(passages), sum(z - a for a, z in passages)))
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+
+    return cut
+
+
+def suffix_dedup(docs: DataFrame, scratch: Scratch, length: int = 400, passage: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans (byte offsets), n_passages, n_passage_words.
 
     Every byte covered by a string of `length` bytes that also starts elsewhere, in the same text or another, is removed;
-    matches never cross documents and are judged on the input. Null text is empty; shorter texts keep all. Equal rows
-    each count as a place, whatever their doc_id, null included. Other columns are ignored; an empty table gives no rows.
+    matches never cross documents and are judged on the input. Passages are runs of `passage` words or more (bytes x20 and
+    x09 to x0D part words) that another row has too; they are counted, not removed. Null text is empty; shorter texts keep
+    all. Equal rows each count as a place, whatever their doc_id, null included. A very long text is one row of one task,
+    with some 60 bytes of working memory a byte. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = rows.where(F.octet_length("text") >= length).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"), "text")
-    spans = scratch.save(repeated_spans(keyed, scratch, length), "spans").groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("found"))
+    units = (BYTES._replace(length=length), WORDS._replace(length=passage))
+    for u in units:
+        if 2 * u.window + u.gram > u.length + 1:
+            raise ValueError(f"strings of {u.length} are too short for stretches of {u.window} grams of {u.gram}")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = [F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tj")]  # 128 bits tell texts apart
+    texts = docs.select(*keys, text.alias("text")).groupBy("th", "tj").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("twice"))
+    texts = scratch.save(texts.withColumn("t", F.monotonically_increasing_id()), "texts")
+    long = texts.where(F.octet_length("text") >= 2 * passage - 1).select("t", "text")
+    spans = scratch.save(repeated_spans(long, scratch, units), "spans")
     tidy(spark)
-    every = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("th"))
-    joined = every.join(spans, ["did", "th"], "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>")
+    found = spans.groupBy(F.shiftright("u", 1).alias("t")).agg(F.collect_list(F.struct(F.col("u").bitwiseAND(F.lit(1)).alias("k"), "s", "e")).alias("found"))
+    done = scratch.save(texts.join(found, "t", "left").select("th", "tj", "text", "twice", "found").mapInArrow(_cut(units), CUT), "done")
+    scratch.drop(texts, spans)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keys)
+    return rows.join(done, ["th", "tj"]).drop("th", "tj")

@@ -113,6 +113,61 @@ def test_suffix_dedup_partial_overlaps(spark):
     assert 0 < sum(w[1] for w in want) < sum(w[0] for w in want)
 
 
+def _passage_texts():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 8)))
+    pool = [word() for _ in range(900)]
+    out = []
+    for k in range(50):
+        a, n = rng.randrange(700), rng.choice([40, 50, 51, 52, 60, 90])
+        out.append(" ".join([word() for _ in range(rng.randint(0, 80))] + pool[a : a + n]) + "\n\t " + "  ".join(word() for _ in range(rng.randint(0, 80))))
+    own = " ".join(word() for _ in range(60))
+    return [*out, own + " x " + own, out[0], "la " * 300, "la " * 60, "la " * 50, None]
+
+
+def test_suffix_dedup_passages(spark):
+    texts = _passage_texts()
+    got = by_id(suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t")))
+    want = brute.passages([(t or "").encode() for t in texts])
+    assert [(r["n_passages"], r["n_passage_words"]) for _, r in sorted(got.items())] == want
+    assert {w[0] for w in want} >= {0, 1}
+    assert [r["n_removed"] for _, r in sorted(got.items())] == [r[1] for r in brute.repeats([(t or "").encode() for t in texts])]
+
+
+def test_suffix_dedup_rounds(spark):
+    """Ranks of every round against plain prefixes: equal ranks for equal prefixes, unique ones gone, ranks in sorted order of their pairs."""
+    texts = [t.encode() for t in dict.fromkeys(t for t in _passage_texts() if t)]
+    unit = suffix_dedup.Unit(60, 6, 12, 4)
+    frame = spark.createDataFrame(list(enumerate(t.decode() for t in texts)), "t long, text string")
+    scratch, rounds = Scratch(spark, "t"), []
+    positions = scratch.save(frame.mapInArrow(suffix_dedup._scan((unit,)), suffix_dedup.POSITIONS), "positions")
+    first = {(r.u, r.a): r.len for r in positions.collect()}
+    suffix_dedup.doubled(scratch, positions, (unit, unit), rounds)
+    assert len(rounds) >= 3
+    prefix, before = {p: (n, texts[p[0] // 2][p[1] : p[1] + n]) for p, n in first.items()}, None
+    for k, table in enumerate(rounds):
+        rows = {(r.u, r.a): r for r in table.collect()}
+        if k:
+            after = {}
+            for (u, a), (n, _) in prefix.items():
+                to = (u, a + n - unit.gram)
+                if (u, a) in before and to in before and n + prefix[to][0] - unit.gram <= unit.length:
+                    after[u, a] = n + prefix[to][0] - unit.gram, texts[u // 2][a : a + n + prefix[to][0] - unit.gram]
+            prefix = after
+        counted = {}
+        for n, text in prefix.values():
+            counted[text] = counted.get(text, 0) + 1
+        assert set(rows) == {p for p, (n, text) in prefix.items() if counted[text] > 1}
+        ranks = {}
+        for p, r in rows.items():
+            assert r.len == prefix[p][0] and ranks.setdefault(r.rank, prefix[p][1]) == prefix[p][1]
+        assert len(ranks) == sum(n > 1 for n in counted.values())
+        if k:
+            pairs = sorted({(before[p].rank, before[p[0], p[1] + before[p].len - unit.gram].rank, r.rank) for p, r in rows.items()})
+            assert [x[2] for x in pairs] == sorted(x[2] for x in pairs)
+        before = rows
+
+
 def test_suffix_dedup_odd_rows(spark, odd):
     got = suffix_dedup.suffix_dedup(odd, Scratch(spark, "t")).collect()
     want = brute.repeats([(r["text"] or "").encode() for r in odd.collect()])
