@@ -1,12 +1,13 @@
 """Exact removal of repeated byte strings by distributed prefix doubling over content-picked positions.
 
-A string of `length` bytes (400) is repeated if it starts at two places or more. The same machine, on words instead of
-bytes, finds passages of over 50 words that two documents share. Texts that are equal are taken once, with their number.
-
-1. Positions. Every stretch of WINDOW grams of GRAM symbols picks its least gram (by a hash; the leftmost on ties). About
-   one position in 75 bytes is ever picked. The choice depends on content alone: equal strings pick equal positions, and
-   from a picked position on they have the same following ones. The text from one pick to the end of the next pick's gram
-   is a phrase.
+A string of `length` bytes (400) is repeated if it starts at two places or more. Steps 1, 3 and 4, on words instead of
+bytes, also tell which documents share a passage of over 50 words. Texts that are equal are taken once, with their number.
+
+1. Positions. Every stretch of `window` grams of `gram` symbols picks its least gram (by a hash; the leftmost on ties).
+   About one position in 55 bytes is ever picked. The pick that follows a picked position is that of the stretch which
+   begins `ahead` symbols later. So the choice depends on content alone: equal strings pick equal positions, and from a
+   pick on they have the same following ones. The text from a pick to the end of the next pick's gram is a phrase. (Words
+   need no phrases: their stretches fill whole windows, and the gram stands for the phrase.)
 2. Doubling. Phrases are sorted and ranked; positions with a phrase of their own are dropped. Then, round by round, each
    position is paired with the position 1, 2, 4, ... phrases ahead: Spark counts and sorts the (rank, rank ahead) pairs,
    gives new ranks in sorted order, and drops positions that have become unique or whose prefix is past the threshold.
@@ -36,16 +37,21 @@ from gritmill.llm.common import Scratch, text_bytes, tidy
 
 
 class Unit(NamedTuple):
-    """What is counted. 2 * window + gram must not exceed length + 1, so that each string of that length holds a phrase."""
+    """What is counted. Each string of `length` symbols holds a phrase if 2 * window + gram + ahead is at most length + 2, or,
+    where `ahead` is 0 and phrases are single grams, if window + gram is at most length + 1."""
 
     length: int
     gram: int
     window: int
+    ahead: int
     step: int  # windows in a block of step 4
 
+    def fits(self) -> bool:
+        return 2 * self.window + self.gram + self.ahead <= self.length + 2 if self.ahead else self.window + self.gram <= self.length + 1
+
 
 #: Bytes, and words: unit 0 and unit 1.
-BYTES, WORDS = Unit(400, 100, 150, 16), Unit(51, 6, 22, 8)
+BYTES, WORDS = Unit(400, 60, 110, 30, 16), Unit(51, 13, 39, 0, 8)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,23 +135,21 @@ def picks_of(h: _Hashes, unit: Unit, mark: int = 0) -> Picks:
     first = (_sliding_min(order, unit.window) & np.uint64(0xFFFFFFFF)).astype(np.int64)  # the pick of the stretch that begins here
     s = np.concatenate(([0], np.flatnonzero(np.diff(first)) + 1))
     a = first[s]
-    nexts = np.full(len(a) + 1, len(a))  # by index; the last one has none and leads to itself
-    on = np.flatnonzero(a + 1 < len(first))
-    nexts[on] = np.searchsorted(a, first[a[on] + 1])
-    at = np.append(a, 1 << 60)
     e = np.minimum(np.append(s[1:], len(first)) - 1, h.n - unit.length)
-    # how many phrases all windows of the run hold, with the whole stretch that each next pick is taken from: by jumps of
-    # powers of two
-    jumps = [nexts]
-    while at[jumps[-1][:-1]].min() <= h.n and (1 << len(jumps)) <= unit.length:
-        jumps.append(jumps[-1][jumps[-1]])
-    m, here = np.ones(len(a), np.int64), np.arange(len(a))
-    for k in reversed(range(len(jumps))):
-        there = jumps[k][here]
-        fits = at[there] + unit.window + unit.gram <= s + unit.length
-        here, m = np.where(fits, there, here), m + (fits.astype(np.int64) << k)
-    kept = np.flatnonzero(nexts[:-1] < len(a))
-    a, s, e, m, to = a[kept], s[kept], e[kept], m[kept], at[nexts[kept]]
+    if unit.ahead:
+        nexts = np.full(len(a) + 1, len(a))  # by index; the last ones have none and lead to one beyond the end
+        on = np.flatnonzero(a + unit.ahead < len(first))
+        nexts[on] = np.searchsorted(a, first[a[on] + unit.ahead])
+        at, here, m = np.append(a, 1 << 60), np.arange(len(a)), np.zeros(len(a), np.int64)
+        while True:  # phrases that all windows of the run hold, with the whole stretch that each next pick is taken from
+            fits = at[here] + (unit.ahead + unit.window + unit.gram - 1) <= s + unit.length
+            if not fits.any():
+                break
+            here, m = np.where(fits, nexts[here], len(a)), m + fits
+        kept = np.flatnonzero(nexts[:-1] < len(a))
+        a, s, e, m, to = a[kept], s[kept], e[kept], m[kept], at[nexts[kept]]
+    else:
+        m, to = np.ones(len(a), np.int64), a
     whole = h.at(s, np.minimum(np.maximum(e, s) + unit.length, h.n))
     shape = ((a - s) << 20 | np.maximum(e - s, 0)).astype(np.uint64)
     g = _mix(h.at(a, to + unit.gram)) & np.uint64(_MASK - 1) | np.uint64(mark)
@@ -223,8 +227,9 @@ def doubled(scratch: Scratch, positions: DataFrame, units: tuple[Unit, ...], rou
         runs.append(scratch.save(live.where((F.col("m") >= 1 << k) & (F.col("m") < 2 << k)).select("u", "a", "back", "fore", "r", F.col("cls").alias("g")), "runs"))
         if not live.where(F.col("m") >= 2 << k).head(1):
             break
-        ahead = live.select("u", F.col("a").alias("to"), F.col("len").alias("more"), F.col("rank").alias("ahead"))
-        pairs = live.withColumn("to", F.col("a") + F.col("len") - unit("gram")).join(ahead, ["u", "to"])
+        chained = live.where(unit("ahead") > 0)
+        ahead = chained.select("u", F.col("a").alias("to"), F.col("len").alias("more"), F.col("rank").alias("ahead"))
+        pairs = chained.withColumn("to", F.col("a") + F.col("len") - unit("gram")).join(ahead, ["u", "to"])
         pairs = pairs.withColumn("len", F.col("len") + F.col("more") - unit("gram")).where(F.col("len") <= unit("length"))
         pairs = scratch.save(pairs.select("u", "a", "len", "rank", "ahead", *rest), "pairs")
         ranks = _ranked(scratch, pairs, "rank", "ahead")
@@ -246,21 +251,26 @@ def _blocks(units: tuple[Unit, ...]):
     def rows_of(batch):
         for t, text, runs in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             hashes = _hashes(text)
-            for run in runs:
-                k = run["g"] & 1
-                h, unit, a = hashes[k], units[k], run["a"]
+            for k, (h, unit) in enumerate(zip(hashes, units, strict=False)):
+                own = [x for x in runs if x["g"] & 1 == k]
+                if not own:
+                    continue
+                pick, back, fore, g = (np.array([x[c] for x in own], np.int64) for c in ("a", "back", "fore", "g"))
+                open_ = np.array([x["open"] for x in own])
                 length, half, step = unit.length, unit.length // 2, unit.step
-                p = np.arange(a - run["back"], a - run["fore"] + 1)
+                sizes = back - fore + 1
+                run = np.repeat(np.arange(len(own)), sizes)
+                a = pick[run]
+                p = a - back[run] + np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 b = (a - p) // step
-                first = np.flatnonzero(np.diff(b, prepend=-1))
+                first = np.flatnonzero((np.diff(b, prepend=-1) != 0) | (np.diff(run, prepend=-1) != 0))
                 last = np.append(first[1:], len(p)) - 1
-                at = a - b[first] * step  # the last window start that the block may have; all its windows hold the symbols from here
-                shape = ((a - p[first]) << 10 | (p[last] - p[first])).astype(np.uint64)
+                at = a[first] - b[first] * step  # the last window start that the block may have; all its windows hold the symbols from here
+                shape = ((a[first] - p[first]) << 10 | (p[last] - p[first])).astype(np.uint64)
                 ranks = _mix(_mix(h.at(p, p + half)) * np.uint64(3) + _mix(h.at(p + half, p + length)))  # the rank pair
                 core = _mix(h.at(at, at - step + 1 + length))
                 full = _mix(h.at(p[first], p[last] + length) ^ _mix(shape + np.uint64(1)))
-                n = len(first)
-                yield np.full(n, run["g"]), b[first], core.view(np.int64), full.view(np.int64), np.full(n, 2 * t + k), p[first], np.full(n, run["open"]), (last + 1 - first, ranks.view(np.int64))
+                yield g[run[first]], b[first], core.view(np.int64), full.view(np.int64), np.full(len(first), 2 * t + k), p[first], open_[run[first]], (last + 1 - first, ranks.view(np.int64))
 
     return lambda batches: _batches(batches, schema, rows_of)
 
@@ -277,22 +287,27 @@ def _counts() -> list[Column]:
 def repeated_spans(texts: DataFrame, scratch: Scratch, units: tuple[Unit, ...] = (BYTES, WORDS)) -> DataFrame:
     """(u, s, e): windows s to e (inclusive) of text u div 2 start repeated strings, of bytes (u even) or words (u odd).
 
-    `texts` has t (a number of its own for each row), and text; no two texts are equal.
+    All such windows of bytes; of words, at least one in each text that shares a passage with another text. `texts` has t (a
+    number of its own for each row), and text; no two texts are equal.
     """
     spark = texts.sparkSession
     left = doubled(scratch, scratch.save(texts.mapInArrow(_scan(units), POSITIONS), "positions"), units)
     tidy(spark)
     distinct = left.groupBy("g", "r").agg(*_counts(), F.min(F.struct("u", "a", "back", "fore")).alias("at"))
-    distinct = scratch.save(distinct.withColumn("again", _again("g")).drop("n", "least", "most"), "distinct")
+    distinct = counted = scratch.save(distinct.withColumn("again", _again("g")).drop("n", "least", "most"), "counted")
     whole = left.join(distinct.where("again").select("g", "r"), ["g", "r"], "left_semi")
     spans = scratch.save(whole.select("u", (F.col("a") - F.col("back")).alias("s"), (F.col("a") - F.col("fore")).alias("e")), "whole")
     scratch.drop(left)
+    # of words, a text that has one passage needs no other
+    passed = scratch.save(spans.where("u % 2 = 1").select(F.col("u").alias("passed")).distinct(), "passed")
+    distinct = distinct.join(passed, F.col("at.u") == F.col("passed"), "left").withColumn("open", ~F.col("again") & F.col("passed").isNull())
+    distinct = scratch.save(distinct.select("g", "at", "open"), "distinct")
     # a phrase that has a run not settled yet, and another run to compare it with: one copy of each of its runs
-    loose = distinct.groupBy("g").agg(F.count("*").alias("n"), F.min("again").alias("settled")).where("n > 1 and not settled").select("g")
+    loose = distinct.groupBy("g").agg(F.count("*").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("g")
     loose = scratch.save(loose, "loose")
-    todo = distinct.join(loose, "g", "left_semi").select("at.*", "g", (~F.col("again")).alias("open"))
+    todo = distinct.join(loose, "g", "left_semi").select("at.*", "g", "open")
     todo = scratch.save(todo.groupBy(F.shiftright("u", 1).alias("t")).agg(F.collect_list(F.struct("a", "back", "fore", "g", "open")).alias("runs")), "todo")
-    scratch.drop(distinct, loose)
+    scratch.drop(counted, distinct, loose)
     tidy(spark)
     once = texts.join(todo, "t").select("t", "text", "runs")
     blocks = scratch.save(once.mapInArrow(_blocks(units), "g long, b int, core long, full long, u long, p int, open boolean, ws array<bigint>"), "blocks")
@@ -331,28 +346,29 @@ def _merged(found: list[tuple[int, int]], length: int) -> list[list[int]]:
     return spans
 
 
-CUT = "th long, tj long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>, n_passages long, n_passage_words long"
+CUT = "th long, tj long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>, has_passage int"
 
 
 def _cut(units: tuple[Unit, ...]):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    kinds = [pa.int64()] * 5 + [pa.string(), span] + [pa.int64()] * 2
+    kinds = [pa.int64()] * 5 + [pa.string(), span, pa.int32()]
     names = [x.split()[0] for x in CUT.split(", ") if x.split()[0] != "end:"]
 
     def cut(batches):
         for b in batches:
             copied, found, out = b.column(3).to_pylist(), b.column(4).to_pylist(), []
             for th, tj, text, twice, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_bytes(b.column(2)), copied, found, strict=True):
-                sizes = (len(text), len(text.split()) if twice else 0)
+                passage = any(x["k"] for x in runs or ())
                 if twice:  # a text that is there twice: all its windows are repeated
-                    runs = [{"k": k, "s": 0, "e": n - u.length} for k, (n, u) in enumerate(zip(sizes, units, strict=False)) if n >= u.length]
-                spans, passages = (_merged([(x["s"], x["e"]) for x in runs or () if x["k"] == k], u.length) for k, u in enumerate((units[0], units[-1])))
+                    runs = [{"k": 0, "s": 0, "e": len(text) - units[0].length}] if len(text) >= units[0].length else ()
+                    passage = len(text.split()) >= units[1].length
+                spans = _merged([(x["s"], x["e"]) for x in runs or () if not x["k"]], units[0].length)
                 kept, at = hashlib.sha256(), 0
                 for a, z in spans:
                     kept.update(text[at:a])
                     at = z
                 kept.update(text[at:])
-                out.append((th, tj, len(text), sum(z - a for a, z in spans), len(spans), kept.hexdigest(), [{"start": a, "end": z} for a, z in spans], len(passages), sum(z - a for a, z in passages)))
+                out.append((th, tj, len(text), sum(z - a for a, z in spans), len(spans), kept.hexdigest(), [{"start": a, "end": z} for a, z in spans], int(passage)))
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
 
@@ -360,18 +376,18 @@ def _cut(units: tuple[Unit, ...]):
 
 
 def suffix_dedup(docs: DataFrame, scratch: Scratch, length: int = 400, passage: int = 51, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans (byte offsets), n_passages, n_passage_words.
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans (byte offsets), has_passage.
 
     Every byte covered by a string of `length` bytes that also starts elsewhere, in the same text or another, is removed;
-    matches never cross documents and are judged on the input. Passages are runs of `passage` words or more (bytes x20 and
-    x09 to x0D part words) that another row has too; they are counted, not removed. Null text is empty; shorter texts keep
+    matches never cross documents and are judged on the input. has_passage is 1 if a run of `passage` words (bytes x20 and
+    x09 to x0D part words) is in another row too, else 0; it has no part in what is removed. Null text is empty; shorter texts keep
     all. Equal rows each count as a place, whatever their doc_id, null included. A very long text is one row of one task,
     with some 60 bytes of working memory a byte. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     units = (BYTES._replace(length=length), WORDS._replace(length=passage))
     for u in units:
-        if 2 * u.window + u.gram > u.length + 1:
+        if not u.fits():
             raise ValueError(f"strings of {u.length} are too short for stretches of {u.window} grams of {u.gram}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keys = [F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tj")]  # 128 bits tell texts apart
@@ -380,6 +396,8 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch, length: int = 400, passage:
     long = texts.where(F.octet_length("text") >= 2 * passage - 1).select("t", "text")
     spans = scratch.save(repeated_spans(long, scratch, units), "spans")
     tidy(spark)
+    # of words one span a text is enough
+    spans = spans.where("u % 2 = 0").unionByName(spans.where("u % 2 = 1").groupBy("u").agg(F.min("s").alias("s")).withColumn("e", F.col("s")))
     found = spans.groupBy(F.shiftright("u", 1).alias("t")).agg(F.collect_list(F.struct(F.col("u").bitwiseAND(F.lit(1)).alias("k"), "s", "e")).alias("found"))
     done = scratch.save(texts.join(found, "t", "left").select("th", "tj", "text", "twice", "found").mapInArrow(_cut(units), CUT), "done")
     scratch.drop(texts, spans)

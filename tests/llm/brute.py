@@ -92,22 +92,13 @@ def repeats(texts, length=400):
 
 
 def passages(texts, length=51):
-    """Per text: maximal runs of words in windows of that length that another text has too, and the words in them."""
+    """Per text: the number of its windows of that many words that another text has too."""
     words = [t.split() for t in texts]
     places = {}
     for i, w in enumerate(words):
         for p in range(len(w) - length + 1):
             places.setdefault(tuple(w[p : p + length]), set()).add(i)
-    out = []
-    for w in words:
-        covered, runs, end = 0, 0, -1
-        for p in range(len(w) - length + 1):
-            if len(places[tuple(w[p : p + length])]) > 1:
-                runs += p > end
-                covered += p + length - max(p, end)
-                end = p + length
-        out.append((runs, covered))
-    return out
+    return [sum(len(places[tuple(w[p : p + length])]) > 1 for p in range(len(w) - length + 1)) for w in words]
 
 
 def quality(text):
