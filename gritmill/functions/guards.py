@@ -148,8 +148,7 @@ register_guard("plannedRelationCount", lambda k=None, n=None: _false() if n is N
 _TOKEN = re.compile(r"\s*(?:(&&|\|\||[!(),])|(\"(?:[^\"\\]|\\.)*\"|'[^']*'|[^\s&|!(),\"']+))")
 
 
-def parse_guard(text: str) -> Column:
-    """A Column for a guard expression: calls joined by && or `,` (and), || (or), ! (not) and parentheses. Raises ValueError."""
+def _tokens(text: str) -> list[str]:
     tokens, at = [], 0
     while text[at:].strip():
         m = _TOKEN.match(text, at)
@@ -157,7 +156,18 @@ def parse_guard(text: str) -> Column:
             raise ValueError(f"guard: unexpected text at {at}: {text}")
         tokens.append(m[1] or m[2])
         at = m.end()
-    tokens.append("")
+    return tokens
+
+
+def guard_names(text: str) -> list[str]:
+    """Names of the guards that an expression calls."""
+    tokens = [*_tokens(text), ""]
+    return [t if not t.startswith("$") else "instanceof" for i, t in enumerate(tokens) if t in GUARDS and t != "instanceof" or tokens[i + 1 : i + 2] == ["instanceof"]]
+
+
+def parse_guard(text: str) -> Column:
+    """A Column for a guard expression: calls joined by && or `,` (and), || (or), ! (not) and parentheses. Raises ValueError."""
+    tokens = [*_tokens(text), ""]
     pos = 0
 
     def take(want: str | None = None) -> str:

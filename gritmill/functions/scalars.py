@@ -113,14 +113,14 @@ def markdown_cell(text, n: int) -> Column:
 
 
 def suggest_name(type_name, name) -> Column:
-    """Type prefix and capitalised name: int[] gives intArray, List<String> gives stringList."""
+    """Type prefix and capitalised name: int[] gives intArray, List<String> gives stringList. Without a type the name stays."""
     t = _c(type_name)
     argument = F.regexp_extract(t, r"<\s*([A-Za-z_]\w*)", 1)
     plain = F.regexp_replace(t, r"<.*>|\[\]|\s", "")
     low = lambda x: F.concat(F.lower(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 20))
     prefix = F.when(F.contains(t, F.lit("[]")), F.concat(low(plain), F.lit("Array"))).when(argument != "", F.concat(low(argument), plain)).otherwise(low(plain))
     given = F.coalesce(_c(name), F.lit(""))
-    return F.concat(prefix, F.upper(F.substring(given, 1, 1)), F.substring(given, 2, 1 << 20))
+    return F.when(F.coalesce(prefix, F.lit("")) == "", _c(name)).otherwise(F.concat(prefix, F.upper(F.substring(given, 1, 1)), F.substring(given, 2, 1 << 20)))
 
 
 def dsl_error(text) -> Column:
@@ -156,22 +156,22 @@ def null_score(status, reason) -> Column:
     return out
 
 
-# What to do about each kind of gap, in this engine's words; the kinds are fixed values.
+# The action suggested for each kind of gap.
 GAP_ACTIONS = {
-    "MISSED_RELEVANT": "Review what counts as relevant",
-    "WRONG_TRAFFIC_LIGHT": "Calibrate the traffic light in the examples",
-    "MISSING_DSL_RULE": "Add examples of rules",
-    "INVALID_DSL_RULE": "Add counter-examples to the rule language's description",
-    "CATEGORY_MISMATCH": "Sharpen the definitions of categories",
-    "MISSING_API_CONTEXT": "Add patterns of API migration to the context",
-    "MISSING_TYPE_CONTEXT": "Add the type hierarchy to the context",
-    "TYP_KONTEXT": "Add type information to the context",
-    "API_VERSION": "Add source versions to the context",
-    "GUARD_WISSEN": "Add examples of guards",
-    "DSL_SYNTAX": "Add counter-examples of syntax",
-    "GENERALISIERUNG": "Add examples of generalisation",
-    "DUPLIKAT_ERKENNUNG": "Describe the existing rules better",
-    "KONTEXT_NUTZUNG": "Give more context sections",
+    "MISSED_RELEVANT": "Review prompt relevance criteria",
+    "WRONG_TRAFFIC_LIGHT": "Calibrate traffic light scoring in prompt examples",
+    "MISSING_DSL_RULE": "Add DSL rule examples to mining-examples.md",
+    "INVALID_DSL_RULE": "Add negative DSL examples to dsl-explanation.md",
+    "CATEGORY_MISMATCH": "Improve category definitions in prompt",
+    "MISSING_API_CONTEXT": "Add API migration patterns to eclipse-api-context.md",
+    "MISSING_TYPE_CONTEXT": "Add type hierarchy info to eclipse-api-context.md",
+    "TYP_KONTEXT": "Add type information to eclipse-api-context.md",
+    "API_VERSION": "Add Java version context to eclipse-api-context.md",
+    "GUARD_WISSEN": "Add guard examples to dsl-explanation.md",
+    "DSL_SYNTAX": "Add negative examples to dsl-explanation.md",
+    "GENERALISIERUNG": "Add generalization examples to mining-examples.md",
+    "DUPLIKAT_ERKENNUNG": "Improve existing .sandbox-hint descriptions for better matching",
+    "KONTEXT_NUTZUNG": "Extend PromptBuilder context sections",
 }
 
 

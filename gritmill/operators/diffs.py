@@ -8,7 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gritmill.plans.rules import lex
+from gritmill.plans.tokens import lex
 
 
 def unified(before: str | None, after: str | None, path: str, max_lines: int = 500, width: int = 500) -> str:
@@ -86,7 +86,13 @@ def inferred_rules(changed: DataFrame) -> DataFrame:
 
     @F.pandas_udf("struct<pattern:string,replacement:string,confidence:double>")
     def run(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([infer(x, y) or (None, None, None) for x, y in zip(before, after, strict=True)], columns=["pattern", "replacement", "confidence"])
+        def one(x: str, y: str) -> tuple:
+            try:
+                return infer(x, y) or (None, None, None)
+            except Exception:  # a pair that can't be taken apart says nothing of the others
+                return None, None, None
+
+        return pd.DataFrame([one(x, y) for x, y in zip(before, after, strict=True)], columns=["pattern", "replacement", "confidence"])
 
     return changed.where("before is not null and after is not null").withColumn("r", run("before", "after")).where("r.pattern is not null").select(*changed.columns, "r.*")
 

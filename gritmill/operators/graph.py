@@ -97,13 +97,34 @@ def name_collisions(requested: DataFrame, declared: DataFrame) -> DataFrame:
     return both.groupBy("owner").agg(hit.alias("collisions"), (F.count("_taken") == 0).alias("available"))
 
 
-def contract(shape, order, append, insert, remove, reference, complete, unique_guard) -> Column:
-    """struct<rule, confidence> for a container's usage: unique sequence first, else appended array; null where neither applies."""
+# What is assessed for a container, and the two verdicts.
+ASSESSED = ("ORDER", "UNIQUENESS", "MUTABILITY", "NULLS", "ALIASING", "CONCURRENCY", "SIGNATURES")
+PRESERVED, OPEN = "PRESERVED", "REQUIRES_PROOF"
+
+
+def contract(shape, order, append, insert, remove, reference, complete, unique_guard, alias_free, confined, local, flow) -> Column:
+    """struct<rule, confidence, order, assessments> for a container's usage; null where neither rule applies.
+
+    A unique sequence comes first: complete, local, without alias, in one thread, no insertion or removal by place; its
+    confidence is HIGH. Else an array of references that is only appended to: HIGH without alias and in one thread, else
+    MEDIUM; an unknown order is NONE, since the usage is complete. Assessments map each property to PRESERVED, or to
+    REQUIRES_PROOF where aliases, threads or signatures are not closed (locally or by a complete flow).
+    """
     c = lambda x: F.col(x) if isinstance(x, str) else x
-    unique = c(complete) & (c(shape) == "LIST") & c(unique_guard) & ~c(insert) & ~c(remove)
+    unique = c(complete) & (c(shape) == "LIST") & c(unique_guard) & ~c(insert) & ~c(remove) & c(local) & c(alias_free) & c(confined)
     array = c(complete) & (c(shape) == "ARRAY") & c(reference) & c(append) & ~c(insert) & ~c(remove) & c(order).isin("NONE", "ENCOUNTER", "POSITIONAL", "UNKNOWN")
-    grade = F.when(c(order) == "UNKNOWN", "MEDIUM").otherwise("HIGH")
-    return F.when(unique, F.struct(F.lit("semantic.sequence.unique.set").alias("rule"), grade.alias("confidence"))).when(array, F.struct(F.lit("semantic.array.append.sequence").alias("rule"), grade.alias("confidence")))
+    closed = c(local) | c(flow)
+    verdict = {"ALIASING": c(alias_free) & closed, "CONCURRENCY": c(confined) & closed, "SIGNATURES": closed}
+
+    def assessed(proven: bool) -> Column:
+        return F.create_map(*(x for p in ASSESSED for x in (F.lit(p), F.lit(PRESERVED) if proven or p not in verdict else F.when(verdict[p], PRESERVED).otherwise(OPEN))))
+
+    def found(rule: str, grade: Column, target: Column, proven: bool) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), grade.alias("confidence"), target.alias("order"), assessed(proven).alias("assessments"))
+
+    high = F.when(c(alias_free) & c(confined), "HIGH").otherwise("MEDIUM")
+    target = F.when(c(order) == "UNKNOWN", "NONE").otherwise(c(order))
+    return F.when(unique, found("semantic.sequence.unique.set", F.lit("HIGH"), F.lit("ENCOUNTER"), True)).when(array, found("semantic.array.append.sequence", high, target, False))
 
 
 def tree_leaves(nodes: DataFrame, tree: str, node: str, parent: str) -> DataFrame:

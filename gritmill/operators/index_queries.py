@@ -120,6 +120,16 @@ def ratio_of_tests(df: DataFrame, package: str, is_test: Column) -> DataFrame:
 # joins
 
 
+def prefix(c: str, start: str) -> Column:
+    """Whether a value begins with this text; no sign in it is a wildcard."""
+    return F.startswith(F.col(c), F.lit(start))
+
+
+def import_delta(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Distinct rows of `now` that `before` has not; nulls are equal."""
+    return now.subtract(before)
+
+
 def orphans(parents: DataFrame, children: DataFrame, on: str) -> DataFrame:
     return parents.select(on).distinct().join(children.select(on), on, "left_anti")
 

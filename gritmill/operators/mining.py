@@ -106,7 +106,7 @@ def compare(reference: DataFrame, mined: DataFrame) -> DataFrame:
             gap(irrelevant, "MISSED_RELEVANT", F.lit("irrelevant"), F.lit("relevant")),
             gap(go & (F.col("light") != F.col("m.light")), "WRONG_TRAFFIC_LIGHT", F.col("m.light"), F.col("light")),
             gap(go & has("rule") & ~has("m.rule"), "MISSING_DSL_RULE", none, F.col("rule")),
-            gap(go & has("rule") & has("m.rule") & (F.col("m.validation") != "VALID"), dsl_error("m.validation"), F.col("m.rule"), F.col("rule")),
+            gap(go & has("rule") & has("m.rule") & (F.col("m.validation") != "VALID"), dsl_error("m.validation"), F.col("m.validation"), F.col("rule")),
             gap(go & (F.col("category") != F.col("m.category")), "CATEGORY_MISMATCH", F.col("m.category"), F.col("category")),
         )
     )

@@ -88,23 +88,36 @@ class Pipeline:
 
     # terminals
 
+    def _placed(self) -> DataFrame:
+        """Elements with their place in the order of `sorted`: a distributed sort, then numbers that grow with it."""
+        return self.df.orderBy(*self.order, F.col(self.element)).withColumn("_at", F.monotonically_increasing_id()) if self.order else self.df
+
+    def _list(self, value: Column) -> Column:
+        if not self.order:
+            return F.sort_array(F.collect_list(value))
+        rows = F.filter(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("at"), value.alias("value")))), lambda x: x["value"].isNotNull())
+        return F.transform(rows, lambda x: x["value"])
+
     def collect(self, how: str = "TO_LIST", key: Column | None = None, value: Column | None = None, separator: str = "", custom: Column | None = None) -> DataFrame:
-        """TO_LIST, TO_SET, TO_MAP, JOINING, GROUPING_BY or CUSTOM. Lists are in element order, so that results are stable."""
+        """TO_LIST, TO_SET, TO_MAP, JOINING, GROUPING_BY or CUSTOM. Lists keep the order of `sorted`, equal ones by element;
+        without it elements have no order, and lists are in ascending order, so that results are stable."""
         e = F.col(self.element)
+        df = self._placed() if how in ("TO_LIST", "JOINING", "GROUPING_BY") else self.df
         if how == "GROUPING_BY":
-            return self.df.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(e if value is None else value)).alias("items"))
+            return df.groupBy(key.alias("key")).agg(self._list(e if value is None else value).alias("items"))
         out = {
-            "TO_LIST": lambda: F.sort_array(F.collect_list(e)),
+            "TO_LIST": lambda: self._list(e),
             "TO_SET": lambda: F.sort_array(F.collect_set(e)),
             "TO_MAP": lambda: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.alias("key"), (e if value is None else value).alias("value"))))),
-            "JOINING": lambda: F.array_join(F.sort_array(F.collect_list(e.cast("string"))), separator),
+            "JOINING": lambda: F.array_join(self._list(e.cast("string")), separator),
             "CUSTOM": lambda: custom,
         }[how]()
-        return self.df.agg(out.alias("result"))
+        return df.agg(out.alias("result"))
 
     def reduce(self, kind: str, identity=None, step: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-        """SUM, COUNT, INCREMENT, DECREMENT, MIN, MAX, PRODUCT, STRING_CONCAT, or CUSTOM with an identity and a step over sorted elements."""
+        """SUM, COUNT, INCREMENT, DECREMENT, MIN, MAX, PRODUCT, STRING_CONCAT, or CUSTOM with an identity and a step; the last two go by the order of `sorted`."""
         e = F.col(self.element)
+        df = self._placed() if kind in ("STRING_CONCAT", "CUSTOM") else self.df
         out = {
             "SUM": lambda: F.coalesce(F.sum(e), F.lit(0)),
             "COUNT": lambda: F.count("*"),
@@ -113,10 +126,10 @@ class Pipeline:
             "MIN": lambda: F.min(e),
             "MAX": lambda: F.max(e),
             "PRODUCT": lambda: F.coalesce(F.product(e), F.lit(1.0)),
-            "STRING_CONCAT": lambda: F.array_join(F.sort_array(F.collect_list(e.cast("string"))), ""),
-            "CUSTOM": lambda: F.aggregate(F.sort_array(F.collect_list(e)), identity, step),
+            "STRING_CONCAT": lambda: F.array_join(self._list(e.cast("string")), ""),
+            "CUSTOM": lambda: F.aggregate(self._list(e), identity, step),
         }[kind]()
-        return self.df.agg(out.alias("result"))
+        return df.agg(out.alias("result"))
 
     def count(self) -> DataFrame:
         return self.df.agg(F.count("*").alias("result"))

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gritmill.functions.guards import decide, parse_guard
+from gritmill.functions.guards import decide, guard_names, parse_guard
+from gritmill.plans.context import FOUND, GIVEN, Context
+from gritmill.plans.tokens import CLOSE, OPEN, lex
 
 TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|//[^\n]*|/\*.*?\*/|\$?[A-Za-z_]\w*\$?(?::[A-Za-z]\w*)?|\d[\w.]*|->|::|&&|\|\||[=!<>+\-*/%&|^]=|\+\+|--|\S', re.S)
-_WORD = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|//[^\n]*|/\*.*?\*/|[A-Za-z_$][\w$]*|\d[\w.]*|->|::|&&|\|\||[=!<>+\-*/%&|^]=|\+\+|--|\S', re.S)
-_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
 @dataclass
@@ -68,8 +69,8 @@ def split_top(text: str, mark: str) -> list[str]:
     parts, depth, at = [], 0, 0
     for m in TOKEN.finditer(text):
         t = m.group()
-        depth += t in _OPEN
-        depth -= t in _CLOSE
+        depth += t in OPEN
+        depth -= t in CLOSE
         if t == mark and depth == 0:
             parts.append(text[at : m.start()])
             at = m.end()
@@ -128,11 +129,6 @@ def parse_rules(text: str, name: str = "", load=None, _seen: frozenset = frozens
     return rules
 
 
-def lex(text: str) -> list[tuple[str, int, int]]:
-    """Tokens with offsets; comments left out."""
-    return [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text) if not m.group().startswith(("//", "/*"))]
-
-
 def _fits(kind: str, tokens: list[str]) -> bool:
     one = tokens[0] if len(tokens) == 1 else ""
     return {
@@ -155,10 +151,10 @@ def match_at(pattern: list[str], tokens: list[str], at: int, fold: bool = False)
         ends, depth = [], 0
         while i < len(tokens):
             t = tokens[i]
-            if depth == 0 and (t in stop or t in _CLOSE):
+            if depth == 0 and (t in stop or t in CLOSE):
                 break
-            depth += t in _OPEN
-            depth -= t in _CLOSE
+            depth += t in OPEN
+            depth -= t in CLOSE
             i += 1
             if depth == 0:
                 ends.append(i)
@@ -201,7 +197,7 @@ def match_at(pattern: list[str], tokens: list[str], at: int, fold: bool = False)
         if i < len(tokens) and same(p, tokens[i]):
             return go(k + 1, i + 1, bound)
         # a list placeholder before may have been empty and left its comma
-        if p == "," and k + 1 < len(pattern) and re.fullmatch(r"\$\w+\$(?::\w+)?", pattern[k + 1]) and i < len(tokens) and tokens[i] in _CLOSE:
+        if p == "," and k + 1 < len(pattern) and re.fullmatch(r"\$\w+\$(?::\w+)?", pattern[k + 1]) and i < len(tokens) and tokens[i] in CLOSE:
             name = pattern[k + 1].partition(":")[0]
             return go(k + 2, i, bound | {name: []}) if bound.get(name, []) == [] else None
         return None
@@ -216,8 +212,8 @@ def _arguments(tokens: list[str]) -> list[list[str]]:
             out.append(part)
             part = []
             continue
-        depth += t in _OPEN
-        depth -= t in _CLOSE
+        depth += t in OPEN
+        depth -= t in CLOSE
         part.append(t)
     return [*out, part] if part else out
 
@@ -245,11 +241,56 @@ def substitute(template: str, bindings: dict[str, list[str]]) -> str:
 MATCH = "rule int, rule_name string, kind string, start int, end int, line int, matched string, bindings map<string,array<string>>"
 
 
-def matches(df: DataFrame, source: str, rules: list[Rule], keep: tuple[str, ...] = ("file_path",), fold: bool = False) -> DataFrame:
-    """All matches of all rules: the kept columns, and MATCH. Each source is cut into tokens once; rules are tried where their first token stands."""
-    plans = [(i, r.name, r.kind, [t for t, _, _ in ((m.group(), 0, 0) for m in TOKEN.finditer(r.pattern.rstrip(";") if r.kind in ("METHOD_CALL", "EXPRESSION") else r.pattern))]) for i, r in enumerate(rules)]
-    names = [f.name for f in df.select(*keep).schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", " + MATCH
+#: Guards that read no more than the match itself.
+_PLAIN = set("otherwise matchesAny matchesNone hasNoSideEffect referencedIn isLiteral isNullLiteral isStringLiteral isCharsetString isSingleCharacter isRegexp methodNameMatches argsCount".split())
+
+
+def needs_context(rules: list[Rule]) -> bool:
+    """Whether a guard of the rules asks about a match's surroundings."""
+    texts = [x for r in rules for x in (r.guard, *(a.condition for a in r.alternatives)) if x]
+    return any(name not in _PLAIN for x in texts for name in guard_names(x))
+
+
+#: Words that begin statements, never expressions.
+_NO_START = set("return throw else case assert yield do goto".split())
+
+
+def _starts(pattern: list[str], tokens: list[str], places: dict[str, list[int]], anchor: int | None) -> list[int] | range:
+    """Tokens where a pattern may begin: where its first word stands; where a run begins that ends at the word after its first placeholder."""
+    if anchor == 0:
+        return places.get(pattern[0], [])
+    if anchor is None:
+        return range(len(tokens))
+    if anchor > 1 or pattern[0].partition(":")[0].endswith("$"):
+        return range(len(tokens)) if pattern[anchor] in places else []
+    words = pattern[1 : next((k for k in range(1, len(pattern)) if pattern[k].startswith("$")), len(pattern))]
+    out: set[int] = set()
+    for j in places.get(words[0], []):
+        if len(words) > 1 and tokens[j + 1 : j + 2] != words[1:2]:
+            continue
+        depth, i = 0, j - 1
+        while i >= 0:
+            depth += (tokens[i] in CLOSE) - (tokens[i] in OPEN)
+            if depth < 0 or depth == 0 and tokens[i] in (";", ","):
+                break
+            if depth == 0:
+                out.add(i)
+            i -= 1
+    return sorted(out)
+
+
+def matches(df: DataFrame, source: str, rules: list[Rule], keep: tuple[str, ...] = ("file_path",), fold: bool = False, context: bool | None = None) -> DataFrame:
+    """All matches of all rules: the kept columns, MATCH, and with context FOUND, which guards about surroundings read.
+
+    Each source is cut into tokens once; rules are tried where their first word stands. Texts that hold none of the rules'
+    words never leave the JVM. Context is found if a rule's guard asks for it, or as told.
+    """
+    plans = [(i, r.name, r.kind, [m.group() for m in TOKEN.finditer(r.pattern.rstrip(";") if r.kind in ("METHOD_CALL", "EXPRESSION") else r.pattern)]) for i, r in enumerate(rules)]
+    context = needs_context(rules) if context is None else context
+    extra = FOUND if context else {}
+    fields = df.select(*keep).schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), MATCH, *(f"{k} {v}" for k, v in extra.items())])
+    columns = [*fields.names, *(x.split()[0] for x in re.split(r", (?=\w+ )", MATCH)), *extra]
 
     def run(batches):
         for pdf in batches:
@@ -263,29 +304,40 @@ def matches(df: DataFrame, source: str, rules: list[Rule], keep: tuple[str, ...]
                 places: dict[str, list[int]] = {}
                 for i, t in enumerate(tokens):
                     places.setdefault(t, []).append(i)
+                around = None
                 for i, name, kind, pattern in plans:
                     anchor = next((k for k, t in enumerate(pattern) if not t.startswith("$")), None)
-                    starts = places.get(pattern[0], []) if anchor == 0 else range(len(tokens)) if anchor is None or pattern[anchor] in places else []
+                    starts = _starts(pattern, tokens, places, anchor) if not fold else range(len(tokens))
                     last = -1
                     for at in starts:
-                        if anchor != 0 and (at <= last or not re.match(r"[\w$\"'(]", tokens[at]) or at and tokens[at - 1] in (".", "new")):
+                        if anchor != 0 and (at <= last or not re.match(r"[\w$\"'(]", tokens[at]) or tokens[at] in _NO_START or at and tokens[at - 1] in (".", "new")):
                             continue
                         found = match_at(pattern, tokens, at, fold)
                         if found and found[0] > at:
                             if anchor != 0:
                                 last = found[0] - 1
                             a, z = lexed[at][1], lexed[found[0] - 1][2]
-                            rows.append((*rec[:-1], i, name, kind, a, z, text.count("\n", 0, a) + 1, text[a:z], {k: [_compact(x) for x in v] for k, v in found[1].items()}))
-            yield pd.DataFrame(rows, columns=[*names, *(x.split()[0] for x in re.split(r", (?=\w+ )", MATCH))])
+                            bindings = {k: [_compact(x) for x in v] for k, v in found[1].items()}
+                            if context:
+                                around = around or Context(text)
+                            rows.append((*rec[:-1], i, name, kind, a, z, text.count("\n", 0, a) + 1, text[a:z], bindings, *(around.around(a, z, bindings) if context else ())))
+            yield pd.DataFrame(rows, columns=columns)
 
-    return df.select(*keep, F.col(source).alias("_source")).mapInPandas(run, schema)
+    rows = df.select(*keep, F.col(source).alias("_source"))
+    wanted = [[t for t in pattern if not t.startswith("$")] for _, _, _, pattern in plans]
+    if all(wanted) and not fold:  # a text without all words of any rule has no match
+        hit = [reduce(lambda a, b: a & b, (F.contains("_source", F.lit(t)) for t in dict.fromkeys(words))) for words in wanted]
+        rows = rows.where(reduce(lambda a, b: a | b, hit))
+    return rows.mapInPandas(run, schema)
 
 
 def report(found: DataFrame, rules: list[Rule], required: bool = False) -> DataFrame:
     """Adds outcome (match, unknown), and the replacement of the first alternative whose condition holds; rows that a guard rejects go.
 
-    Guards read columns of `found`. With required bindings an unknown guard keeps the row, without a replacement.
+    Guards read columns of `found`; those that it has not are null, so that guards about them are unknown or don't hold.
+    With required bindings an unknown guard keeps the row, without a replacement.
     """
+    found = found.withColumns({k: F.lit(None).cast(v) for k, v in (FOUND | GIVEN).items() if k not in found.columns})
     outcome: Column | None = None
     chosen: Column | None = None
     for i, r in enumerate(rules):
@@ -302,7 +354,9 @@ def report(found: DataFrame, rules: list[Rule], required: bool = False) -> DataF
 
     out = found.withColumn("outcome", outcome if outcome is not None else F.lit("match")).where("outcome <> 'no_match'")
     out = out.withColumn("template", F.when(F.col("outcome") == "match", chosen if chosen is not None else F.lit(None).cast("string")))
-    return out.withColumn("replacement", fill("template", "bindings")).drop("template")
+    # templates without a placeholder need no Python
+    filled = F.when(F.contains("template", F.lit("$")), fill("template", "bindings")).otherwise(F.col("template"))
+    return out.withColumn("replacement", filled).drop("template")
 
 
 def windows(statements: DataFrame, block: str, order: str, text: str, n: int) -> DataFrame:

@@ -127,13 +127,13 @@ def fn_line_at(spark, d):
     return tables(spark, d, "documents").where("text is not null").select("doc_id", s.line_at("text", F.lit(500)).alias("line"))
 
 
-@register("fn_suggest_name")
+@register("fn_suggest_name", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'intArray' || cap WHEN 1 THEN 'stringList' || cap WHEN 2 THEN 'widget' || cap ELSE low END AS n FROM (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS low, upper(left(p_name, 1)) || substr(lower(split_part(p_name, ' ', 1)), 2) AS cap FROM part)")
 def fn_suggest_name(spark, d):
-    kinds = F.array(F.lit("int[]"), F.lit("List<String>"), F.lit("Widget"))
-    return tables(spark, d, "part").select("p_partkey", s.suggest_name(F.element_at(kinds, (F.col("p_partkey") % 3 + 1).cast("int")), F.lower(F.substring_index("p_name", " ", 1))).alias("n"))
+    kinds = F.array(F.lit("int[]"), F.lit("List<String>"), F.lit("Widget"), F.lit(None).cast("string"))
+    return tables(spark, d, "part").select("p_partkey", s.suggest_name(F.element_at(kinds, (F.col("p_partkey") % 4 + 1).cast("int")), F.lower(F.substring_index("p_name", " ", 1))).alias("n"))
 
 
-@register("gap_action")
+@register("gap_action", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in s.GAP_ACTIONS.items()) + ") AS t(category, action)")
 def gap_action(spark, d):
     return spark.createDataFrame([(k,) for k in s.GAP_ACTIONS], "category string").withColumn("action", s.gap_action("category"))
 

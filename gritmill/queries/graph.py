@@ -90,10 +90,19 @@ def tree_leaves(spark, d):
     return g.tree_leaves(nodes, "tree", "node", "parent").select("tree", "node")
 
 
-@register("container_contract", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 AND p_size % 5 <> 0 THEN 'semantic.sequence.unique.set' WHEN p_size % 2 = 1 AND p_size % 5 <> 0 THEN 'semantic.array.append.sequence' END AS rule FROM part")
+_ARRAY = "p_size % 2 = 1 AND p_size % 5 <> 0"
+
+
+@register("container_contract", f"""SELECT p_partkey, CASE WHEN {_ARRAY} THEN 'semantic.array.append.sequence' WHEN u THEN 'semantic.sequence.unique.set' END AS rule,
+CASE WHEN {_ARRAY} THEN CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 THEN 'HIGH' ELSE 'MEDIUM' END WHEN u THEN 'HIGH' END AS confidence,
+CASE WHEN {_ARRAY} THEN CASE WHEN p_partkey % 2 = 0 THEN 'NONE' ELSE 'POSITIONAL' END WHEN u THEN 'ENCOUNTER' END AS ord,
+CASE WHEN {_ARRAY} THEN (p_partkey % 7 = 0 OR p_partkey % 4 = 0)::INT + (p_partkey % 11 = 0 OR p_partkey % 4 = 0)::INT + (p_partkey % 4 = 0)::INT WHEN u THEN 0 END AS unproven
+FROM (SELECT *, p_size % 2 = 0 AND p_partkey % 3 = 0 AND p_size % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 4 <> 0 AS u FROM part)""")
 def container_contract(spark, d):
-    p = tables(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "LIST").otherwise("ARRAY").alias("shape"), F.lit("UNKNOWN").alias("ord"), F.lit(True).alias("yes"), F.lit(False).alias("no"), (F.col("p_size") % 5 == 0).alias("ins"), (F.col("p_partkey") % 3 == 0).alias("uniq"))
-    return p.select("p_partkey", g.contract("shape", "ord", "yes", "ins", "no", "yes", "yes", "uniq")["rule"].alias("rule"))
+    yes, no = F.lit(True), F.lit(False)
+    p = tables(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "LIST").otherwise("ARRAY").alias("shape"), F.when(F.col("p_partkey") % 2 == 0, "UNKNOWN").otherwise("POSITIONAL").alias("ord"), (F.col("p_size") % 5 == 0).alias("ins"), *((F.col("p_partkey") % n == 0).alias(f"m{n}") for n in (3, 4, 7, 11)))
+    c = g.contract("shape", "ord", yes, "ins", no, yes, yes, "m3", ~F.col("m7"), ~F.col("m11"), ~F.col("m4"), no)
+    return p.withColumn("c", c).select("p_partkey", "c.rule", "c.confidence", F.col("c.order").alias("ord"), F.size(F.filter(F.map_values("c.assessments"), lambda x: x == g.OPEN)).alias("unproven")).withColumn("unproven", F.when(F.col("rule").isNotNull(), F.col("unproven")))
 
 
 @register("consecutive_groups", "SELECT conv_id, min(turn) AS first, count(*) AS n FROM (SELECT conv_id, turn, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM (SELECT conv_id, turn, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS s FROM conversations)) GROUP BY conv_id, grp")
@@ -106,14 +115,15 @@ def consecutive_groups(spark, d):
     return rows.groupBy("conv_id", "grp").agg(F.min("turn").alias("first"), F.count("*").alias("n")).drop("grp")
 
 
-@register("incremental_stream")
+@register("incremental_stream", "SELECT DISTINCT * FROM events")
 def incremental_stream(spark, d):
     """The events, ingested by a file stream; equal to the distinct events of a batch."""
     import uuid
 
+    from gritmill.checkpoints import shared_dir
     from gritmill.streaming.incremental import ingest
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gritmill").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = shared_dir(spark) + f"/stream-{uuid.uuid4().hex}"
     source = tables(spark, d, "events")
     source.write.parquet(f"{base}/in")
     ingest(spark, f"{base}/in", source.schema, f"{base}/out", f"{base}/checkpoint", "event_id")

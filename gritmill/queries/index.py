@@ -142,9 +142,9 @@ def monster_docs(spark, d):
     return q.large(tables(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", 5000, "doc_id")
 
 
-@register("prefix_filter", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'a%'")
+@register("prefix_filter", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%'")
 def prefix_filter(spark, d):
-    return tables(spark, d, "part").where(F.col("p_name").startswith("a")).select("p_partkey", "p_name")
+    return tables(spark, d, "part").where(q.prefix("p_name", "red")).select("p_partkey", "p_name")
 
 
 @register("file_history", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 ORDER BY turn DESC LIMIT 10")
@@ -162,9 +162,9 @@ def deprecation_timeline(spark, d):
     return q.page(tables(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", offset=10, limit=30)
 
 
-@register("orphans", "SELECT DISTINCT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@register("orphans", "SELECT DISTINCT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)")
 def orphans(spark, d):
-    return q.orphans(tables(spark, d, "customer"), tables(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return q.orphans(tables(spark, d, "customer"), tables(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 _DIFF = """WITH a AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS s, max_by(o_orderpriority, o_orderkey) AS p FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01 00:00:00' AND o_custkey IS NOT NULL GROUP BY 1),
@@ -266,8 +266,8 @@ def known_vs_new(spark, d):
     return delta(tables(spark, d, "customer").select("c_custkey", "c_mktsegment"), tables(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@register("import_delta", "SELECT o_orderpriority AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 450000")
+@register("import_delta", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def import_delta(spark, d):
     o = tables(spark, d, "orders")
-    a, b = o.where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("k")), o.where("o_orderstatus = 'P' and o_totalprice > 450000").select("o_orderpriority")
-    return a.subtract(b)
+    a, b = (o.where(f"o_orderstatus = '{s}'").select(F.col("o_custkey").alias("k")) for s in "FP")
+    return q.import_delta(a, b)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gritmill.catalog import register
+from gritmill.functions.scalars import fingerprint
 from gritmill.operators import mining as m
 from gritmill.sources import sinks
 from gritmill.sources.readers import tables
@@ -90,7 +91,7 @@ _COMPARE = " UNION ALL ".join(
         f"SELECT doc_id, 'MISSED_RELEVANT', 'irrelevant', 'relevant' FROM {_BOTH} WHERE r.relevant AND NOT m.relevant",
         f"SELECT doc_id, 'WRONG_TRAFFIC_LIGHT', m.light, r.light FROM {_BOTH} WHERE {_GO} AND r.light <> m.light",
         f"SELECT doc_id, 'MISSING_DSL_RULE', NULL, r.rule FROM {_BOTH} WHERE {_GO} AND coalesce(trim(r.rule), '') <> '' AND coalesce(trim(m.rule), '') = ''",
-        f"SELECT doc_id, {_ERROR}, m.rule, r.rule FROM {_BOTH} WHERE {_GO} AND coalesce(trim(r.rule), '') <> '' AND coalesce(trim(m.rule), '') <> '' AND m.validation <> 'VALID'",
+        f"SELECT doc_id, {_ERROR}, m.validation, r.rule FROM {_BOTH} WHERE {_GO} AND coalesce(trim(r.rule), '') <> '' AND coalesce(trim(m.rule), '') <> '' AND m.validation <> 'VALID'",
         f"SELECT doc_id, 'CATEGORY_MISMATCH', m.category, r.category FROM {_BOTH} WHERE {_GO} AND r.category <> m.category",
     )
 )
@@ -143,7 +144,10 @@ def learn_limit(spark, d):
     return m.learned_limit(tables(spark, d, "documents").select(F.size(F.split("text", "\n", -1)).alias("n")), "n", 5000)
 
 
-@register("type_context")
+_TYPE = {k: v.replace("'", "''") for k, v in m.TYPE_CONTEXT.items()}
+
+
+@register("type_context", f"SELECT p_partkey, list_concat(CASE WHEN p_size % 2 = 0 THEN ['{_TYPE['Job']}'] ELSE [] END, CASE WHEN p_size % 3 = 0 THEN ['{_TYPE['Shell']}', '{_TYPE['Display']}'] ELSE [] END) AS context FROM part")
 def type_context(spark, d):
     p = tables(spark, d, "part").select("p_partkey", F.concat_ws(" ", F.when(F.col("p_size") % 2 == 0, "a Job"), F.when(F.col("p_size") % 3 == 0, "in a Shell of Display"), F.lit("JobX")).alias("t"))
     return p.select("p_partkey", m.type_context("t").alias("context"))
@@ -203,10 +207,11 @@ def candidate_verify(spark, d):
     return tables(spark, d, "part").select("p_partkey", m.first_failure(F.col("p_size") > 3, F.col("p_size") % 7 != 0, F.col("p_retailprice") > 1000).alias("failed"))
 
 
-@register("candidate_stage")
+@register("candidate_stage", f"SELECT doc_id, 'sha256:' || sha256(doc_id::VARCHAR) AS fingerprint, 'DSL_VALID' AS status FROM ({_EVAL_SQL}) WHERE light = 'GREEN' AND validation = 'VALID' AND doc_id % 3 = 1")
 def candidate_stage(spark, d):
     e = evaluations(spark, d).withColumn("rule", F.concat("rule", F.col("doc_id").cast("string")))
-    return m.stage_candidates(e, spark.createDataFrame([], "fingerprint string")).select("doc_id", "fingerprint", "status")
+    stored = e.where("doc_id % 3 = 0").select(fingerprint("rule").alias("fingerprint"))
+    return m.stage_candidates(e, stored).select("doc_id", "fingerprint", "status")
 
 
 @register("partial_batch", "SELECT max(doc_id) AS anchor FROM labels WHERE quality = 0 AND doc_id < coalesce((SELECT min(doc_id) FROM labels WHERE NOT (quality = 0)), 1e18)")
@@ -246,6 +251,6 @@ def sink_text(spark, d):
     return sinks.text_lines(tables(spark, d, "nation"), "%d: %s in %d", "n_nationkey", "n_name", "n_regionkey")
 
 
-@register("sink_json")
+@register("sink_json", "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS value FROM nation")
 def sink_json(spark, d):
     return sinks.json_lines(tables(spark, d, "nation"))

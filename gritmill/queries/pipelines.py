@@ -31,13 +31,14 @@ _add("sum_empty", "SELECT 0::BIGINT AS result", lambda s, d: _of(s, d, "lineitem
 _add("min", "SELECT min(l_extendedprice) AS result FROM lineitem", lambda s, d: _of(s, d, "lineitem", "l_extendedprice").reduce("MIN"))
 _add("max", "SELECT max(l_extendedprice) AS result FROM lineitem", lambda s, d: _of(s, d, "lineitem", "l_extendedprice").reduce("MAX"))
 _add("product", "SELECT round(product(1 + n_regionkey)) AS result FROM nation WHERE n_nationkey < 12", lambda s, d: _of(s, d, "nation", "n_regionkey", "n_nationkey < 12").map(F.col("n_regionkey") + 1, "x").reduce("PRODUCT").select(F.round("result").alias("result")))
-_add("concat", "SELECT string_agg(n_name, '' ORDER BY n_name) AS result FROM nation", lambda s, d: _of(s, d, "nation", "n_name").reduce("STRING_CONCAT"))
-_add("custom_reduce", "SELECT sum(n_nationkey * n_nationkey)::BIGINT AS result FROM nation", lambda s, d: _of(s, d, "nation", "n_nationkey").reduce("CUSTOM", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x))
-_add("to_list", "SELECT list_sort(list(n_name)) AS result FROM nation", lambda s, d: _of(s, d, "nation", "n_name").collect("TO_LIST"))
+_add("concat", "SELECT string_agg(c_mktsegment, '' ORDER BY c_mktsegment DESC) AS result FROM customer WHERE c_custkey <= 40", lambda s, d: _of(s, d, "customer", "c_mktsegment", "c_custkey <= 40").sorted(F.col("c_mktsegment").desc()).reduce("STRING_CONCAT"))
+_add("custom_reduce", "SELECT list_reduce(list(n_nationkey::BIGINT ORDER BY n_nationkey DESC), lambda a, x: (a * 3 + x) % 1000003) AS result FROM nation", lambda s, d: _of(s, d, "nation", "n_nationkey").sorted(F.col("n_nationkey").desc()).reduce("CUSTOM", F.lit(0).cast("bigint"), lambda a, x: (a * 3 + x) % 1000003))
+_add("to_list", "SELECT list(c_nationkey ORDER BY c_nationkey DESC) AS result FROM customer WHERE c_custkey <= 60", lambda s, d: _of(s, d, "customer", "c_nationkey", "c_custkey <= 60").sorted(F.col("c_nationkey").desc()).collect("TO_LIST"))
+_add("to_list_unsorted", "SELECT list_sort(list(n_name)) AS result FROM nation", lambda s, d: _of(s, d, "nation", "n_name").collect("TO_LIST"))
 _add("to_set", "SELECT list_sort(list(DISTINCT n_regionkey)) AS result FROM nation", lambda s, d: _of(s, d, "nation", "n_regionkey").collect("TO_SET"))
 _add("to_map", "SELECT list_sort(list(struct_pack(key := n_nationkey, value := n_name))) AS result FROM nation", lambda s, d: Pipeline(tables(s, d, "nation"), "n_name").collect("TO_MAP", key=F.col("n_nationkey")).select(F.array_sort(F.map_entries("result")).alias("result")))
-_add("joining", "SELECT string_agg(r_name, ', ' ORDER BY r_name) AS result FROM region", lambda s, d: _of(s, d, "region", "r_name").collect("JOINING", separator=", "))
-_add("grouping", "SELECT n_regionkey AS key, list_sort(list(n_name)) AS items FROM nation GROUP BY n_regionkey", lambda s, d: Pipeline(tables(s, d, "nation"), "n_name").collect("GROUPING_BY", key=F.col("n_regionkey")))
+_add("joining", "SELECT string_agg(r_name, ', ' ORDER BY r_name DESC) AS result FROM region", lambda s, d: _of(s, d, "region", "r_name").sorted(F.col("r_name").desc()).collect("JOINING", separator=", "))
+_add("grouping", "SELECT n_regionkey AS key, list(n_name ORDER BY n_name DESC) AS items FROM nation GROUP BY n_regionkey", lambda s, d: Pipeline(tables(s, d, "nation"), "n_name").sorted(F.col("n_name").desc()).collect("GROUPING_BY", key=F.col("n_regionkey")))
 _add("find", "SELECT p_partkey FROM part WHERE p_size = 11 ORDER BY p_partkey LIMIT 1", lambda s, d: _of(s, d, "part", "p_partkey", "p_size = 11").sorted().find_first())
 _add("any", "SELECT coalesce(bool_or(p_size > 49), false) AS result FROM part", lambda s, d: _of(s, d, "part", "p_size").any_match(F.col("p_size") > 49))
 _add("all", "SELECT coalesce(bool_and(p_size > 49), true) AS result FROM part", lambda s, d: _of(s, d, "part", "p_size").all_match(F.col("p_size") > 49))

@@ -43,12 +43,18 @@ def found(spark, d):
     return r.matches(sources(spark, d), "text", rules(), ("p_partkey", "path"))
 
 
-@register("rule_match")
+#: Where the rules match in a unit of `sources`, by line from 1: rule, text, replacement.
+_FOUND = """SELECT p_partkey, 'shop/src/p/Part' || p_partkey || '.java' AS path, r.* FROM part, LATERAL (VALUES
+('print-to-log', 8, 'System.out.println("hello world")', 'LOG.info("hello world")', '{"$msg":["\\"hello world\\""]}'), ('size-call', 7, 'xs.size()', 'count(xs)', '{"$recv":["xs"]}'),
+('any-call', 8, 'new Part' || p_partkey || '()', 'create()', '{"$t":["Part' || p_partkey || '"],"$args$":[]}'), ('deprecated', 7, '@Deprecated', NULL, '{}')) r(rule_name, line, matched, replacement, bindings)"""
+
+
+@register("rule_match", f"SELECT p_partkey, path, rule_name, line, matched, bindings FROM ({_FOUND})")
 def rule_match(spark, d):
-    return found(spark, d).withColumn("bindings", F.to_json("bindings"))
+    return found(spark, d).withColumn("bindings", F.to_json("bindings")).select("p_partkey", "path", "rule_name", "line", "matched", "bindings")
 
 
-@register("rule_report")
+@register("rule_report", f"SELECT path, rule_name, line, matched, replacement, 'match' AS outcome FROM ({_FOUND})")
 def rule_report(spark, d):
     return r.report(found(spark, d), rules()).select("path", "rule_name", "line", "matched", "replacement", "outcome")
 
@@ -77,7 +83,10 @@ def rule_usage(spark, d):
     return m.rule_usage(spark.createDataFrame([(x,) for x in [*KEYWORD_RULES, "never"]], "rule_name string"), _hits(spark, d))
 
 
-@register("rule_groups")
+_GROUPED = "'#0#.' || lower(split_part(p_type, ' ', 1)) || '(#1#)'"
+
+
+@register("rule_groups", f"SELECT pattern, count(*) AS size, round(least(1.0, max(c) + least(0.1, 0.02 * (count(*) - 1))), 6) AS confidence FROM (SELECT {_GROUPED} AS pattern, p_size / 60 AS c FROM part) GROUP BY pattern")
 def rule_groups(spark, d):
     p = tables(spark, d, "part")
     pattern = F.concat(F.lit("$"), F.lower(F.substring_index("p_brand", "#", 1)), F.lit("."), F.lower(F.substring_index("p_type", " ", 1)), F.lit("($"), F.lower(F.substring_index("p_brand", "#", 1)), F.lit("1)"))
@@ -110,9 +119,26 @@ def guard_call(spark, d):
     return rows.select("p_partkey", parse_guard('(contains("STEEL") || sourceVersionGE(30)) && !matchesAny($n, "x", "y")').alias("ok"))
 
 
-@register("first_alternative", "SELECT p_partkey, coalesce(CASE WHEN p_size > 40 THEN 'big' END, CASE WHEN p_brand = 'Brand#11' THEN 'eleven' END, 'other') AS pick FROM part")
+def _calls(spark, d, text):
+    return tables(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("source_version"), F.concat(F.lit("f("), text, F.lit(");")).alias("text"))
+
+
+#: The first alternative whose condition holds is taken.
+ALTERNATIVES = """
+@id: pick
+f($n)
+=> big($n) :: sourceVersionGE(41)
+=> eleven($n) :: matchesAny($n, "Brand11")
+=> other($n) :: otherwise
+;;
+"""
+
+
+@register("first_alternative", "SELECT p_partkey, coalesce(CASE WHEN p_size > 40 THEN 'big' END, CASE WHEN p_brand = 'Brand#11' THEN 'eleven' END, 'other') || '(' || replace(p_brand, '#', '') || ')' AS pick FROM part")
 def first_alternative(spark, d):
-    return tables(spark, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") > 40, F.lit("big")), F.when(F.col("p_brand") == "Brand#11", F.lit("eleven")), F.lit("other")).alias("pick"))
+    rules = r.parse_rules(ALTERNATIVES)
+    found = r.matches(_calls(spark, d, F.replace("p_brand", F.lit("#"), F.lit(""))), "text", rules, ("p_partkey", "source_version"))
+    return r.report(found, rules).select("p_partkey", F.col("replacement").alias("pick"))
 
 
 @register("stmt_window", "SELECT conv_id, turn AS first, [role, r2, r3] AS items FROM (SELECT conv_id, turn, role, lead(role, 1) OVER w AS r2, lead(role, 2) OVER w AS r3 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE r3 IS NOT NULL")
@@ -120,10 +146,72 @@ def stmt_window(spark, d):
     return r.windows(tables(spark, d, "conversations"), "conv_id", "turn", "role", 3)
 
 
-@register("variadic", "SELECT p_partkey, w[1] AS a, w[2:len(w) - 1] AS rest, w[len(w)] AS z FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part) WHERE len(w) >= 2")
+_LISTED = "string_split(p_name || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || p_type ELSE ' ' || p_type || ' x y' END, ' ')"
+
+
+@register("variadic", f"SELECT p_partkey, w[1] AS a, w[2:len(w) - 1] AS rest, w[len(w)] AS z FROM (SELECT p_partkey, {_LISTED} AS w FROM part)")
 def variadic(spark, d):
-    w = F.split("p_type", " ")
-    return tables(spark, d, "part").where(F.size(w) >= 2).select("p_partkey", w[0].alias("a"), F.slice(w, F.lit(2), F.size(w) - 2).alias("rest"), F.element_at(w, -1).alias("z"))
+    more = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, F.concat(F.lit(" "), "p_type")).otherwise(F.concat(F.lit(" "), "p_type", F.lit(" x y")))
+    found = r.matches(_calls(spark, d, F.replace(F.concat("p_name", more), F.lit(" "), F.lit(", "))), "text", r.parse_rules("f($a, $rest$, $z)\n;;\n"), ("p_partkey",))
+    b = F.col("bindings")
+    return found.select("p_partkey", b["$a"][0].alias("a"), b["$rest$"].alias("rest"), b["$z"][0].alias("z"))
+
+
+#: Guards about a match's surroundings, one a rule, and when each holds for the units of `surroundings`.
+SURROUNDINGS = {
+    "loop": ("isInLoop()", "p_partkey % 3 <> 2"),
+    "no_loop": ("!isInLoop()", "p_partkey % 3 = 2"),
+    "static": ("isStatic($f)", "p_partkey % 3 = 0"),
+    "final": ('hasModifier($f, "final")', "p_partkey % 3 = 0"),
+    "protected": ("isProtected($f)", "p_partkey % 3 <> 0"),
+    "kinds": ("isField($f) && isParameter($p) && !isLocalVariable($p)", "true"),
+    "kind": ('elementKindMatches($l, "PARAMETER")', "true"),
+    "type": ('$l instanceof List', "p_partkey % 2 = 0"),
+    "subtype": ('subtypeOf($l, "Set")', "p_partkey % 2 = 1"),
+    "extends": ('enclosingClassExtends("Base")', "p_partkey % 2 = 0"),
+    "serial": ("inSerializableClass()", "p_partkey % 2 = 0"),
+    "throws": ('throwsException("IOException")', "p_partkey % 4 = 0"),
+    "throws_any": ("throwsException()", "p_partkey % 4 = 0"),
+    "returns": ('hasReturnType("int")', "p_partkey % 5 <> 0"),
+    "package": ('inPackage("shop.p3")', "p_partkey % 7 = 3"),
+    "class": ('inClass("Part11")', "p_partkey = 11"),
+    "annotated": ('containsAnnotation("Deprecated")', "p_partkey % 5 <> 0"),
+    "suppressed": ('hasSuppressWarnings("unused")', "p_partkey % 5 = 0"),
+    "deprecated": ("isDeprecated($f)", "p_partkey % 4 = 1"),
+    "params": ("paramCount(2)", "true"),
+    "method": ('contains("while")', "p_partkey % 3 = 1"),
+    "no_method": ('notContains("while")', "p_partkey % 3 <> 1"),
+    "field": ('hasField("NAME") && !hasField("OTHER")', "true"),
+    "members": ('classOverrides("m")', "true"),
+    "constructor": ("isInConstructor()", "false"),
+    "resource": ("isInTryWithResourceBlock()", "false"),
+    "version": ("sourceVersionGE(11) && sourceVersionLE(40)", "p_size BETWEEN 11 AND 40"),
+    "between": ("sourceVersionBetween(11, 20)", "p_size BETWEEN 11 AND 20"),
+    "mode": ('mode("strict")', "false"),
+    "planned": ('plannedRole("x") || plannedValue("a", "b") || plannedRelation("r")', "false"),
+    "parent": ('parentMatches("NAME")', "true"),
+}
+
+
+def surroundings(spark, d):
+    """Compilation units whose surroundings differ, one a part."""
+    k, pick = F.col("p_partkey"), lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % n + 1).cast("int"))
+    code = F.format_string(
+        'package shop.p%d;\nclass Part%d %s {\n  %s String NAME = "a";\n  %s m(int a, %s xs) %s {\n    %s { use(NAME, a, xs); }\n    int got = call(a);\n  }\n}\n',
+        k % 7, k, pick(2, "extends Base implements Serializable", ""), F.concat(pick(4, "", "@Deprecated ", "", ""), pick(3, "private static final", "protected", "protected")),
+        pick(5, '@SuppressWarnings("unused") void', *['@Deprecated int'] * 4), pick(2, "List<String>", "java.util.Set<String>"), pick(4, "throws IOException", "", "", ""), pick(3, "for (String s : xs)", "while (a > 0)", "synchronized (this)"),
+    )
+    return tables(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("source_version"), code.alias("text"))
+
+
+_SURROUNDING_RULES = "".join(f"@id: {name}\nuse($f, $p, $l) :: {guard}\n;;\n" for name, (guard, _) in SURROUNDINGS.items()) + "@id: assigned\ncall($a) :: isAssignedToLocalVariable()\n;;\n"
+
+
+@register("guard_context", "SELECT p_partkey, name AS rule_name FROM part, (VALUES " + ", ".join(f"('{k}')" for k in [*SURROUNDINGS, "assigned"]) + ") r(name) WHERE CASE name " + " ".join(f"WHEN '{k}' THEN {when}" for k, (_, when) in SURROUNDINGS.items()) + " ELSE true END")
+def guard_context(spark, d):
+    rules = r.parse_rules(_SURROUNDING_RULES)
+    found = r.matches(surroundings(spark, d), "text", rules, ("p_partkey", "source_version"))
+    return r.report(found, rules).where("outcome = 'match'").select("p_partkey", "rule_name")
 
 
 @register("overlapping_lines", "SELECT o_orderkey, l_linenumber FROM (SELECT o_orderkey, o_custkey % 5 AS a, o_custkey % 5 + 1 AS z FROM orders) o JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber BETWEEN a AND z")
@@ -162,7 +250,7 @@ def commit_diffs(spark, d):
     return diffs(s, s.withColumn("text", F.regexp_replace("text", "int n", "long n")))
 
 
-@register("infer_rules")
+@register("infer_rules", "SELECT p_partkey, 'new Integer(x' || p_size || ')' AS before, 'Integer.valueOf(x' || p_size || ')' AS after, 'new $v($v1)' AS pattern, '$v.valueOf($v1)' AS replacement, round(0.5 + 0.4 * 4 / 6, 6) AS confidence FROM part")
 def infer_rules(spark, d):
     from gritmill.operators.diffs import inferred_rules
 
@@ -170,15 +258,15 @@ def infer_rules(spark, d):
     return inferred_rules(p)
 
 
-@register("equal_sequences")
+@register("equal_sequences", "SELECT count(*) AS n FROM part")
 def equal_sequences(spark, d):
     from gritmill.operators.diffs import canonical_sequence
 
     p = tables(spark, d, "part").select("p_partkey", F.format_string("int a%d = b; f(a%d, b);", F.col("p_size"), F.col("p_size")).alias("t"))
-    return p.groupBy(canonical_sequence("t").alias("sequence")).agg(F.count("*").alias("n"))
+    return p.groupBy(canonical_sequence("t").alias("sequence")).agg(F.count("*").alias("n")).select("n")
 
 
-@register("nullness_stages")
+@register("nullness_stages", "SELECT p_partkey, CASE WHEN k = 0 THEN 'NON_NULL' WHEN k = 1 THEN 'NULLABLE' WHEN p_size % 2 = 0 THEN 'NULLABLE' ELSE 'UNKNOWN' END AS status, CASE WHEN k = 0 THEN 'structural child' WHEN k = 1 THEN 'Map.get may return null' WHEN p_size % 2 = 0 THEN 'initialised with null' ELSE 'getter' END AS reason FROM (SELECT *, p_size % 3 AS k FROM part)")
 def nullness_stages(spark, d):
     from gritmill.operators.diffs import nullness
 

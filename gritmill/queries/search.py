@@ -54,12 +54,11 @@ def _one(name: str, table: str, key: str, column: str, analyzer: str, query: str
 
 _one("ft_commit", "documents", "doc_id", "text", "commitMessage", "tion and the erth", ["tion", "erth"])
 _one("ft_path", "events", "event_id", "event_type", "javaPath", "click", ["click"])
-_one("ft_symbol", "part", "p_partkey", "p_type", "javaIdentifier", "STEEL brushed", ["steel", "brushed"])
-_one("ft_annotation", "part", "p_partkey", "p_brand", "javaIdentifier", "Brand", ["brand"])
+_one("ft_symbol", "events", "event_id", "event_type", "javaIdentifier", "CLICK view", ["click", "view"])
 _one("ft_doc", "benchmark", "item_id", "text", "commitMessage", "tion ertion", ["tion", "ertion"])
 _one("ft_string", "documents", "doc_id", "text", "genericContent", "worthless token", ["worthless", "token"])
 _one("ft_filepath", "supplier", "s_suppkey", "s_name", "javaPath", "Supplier 7", ["supplier", "7"])
-_one("ft_type_module", "part", "p_partkey", "p_name", "javaIdentifier", "part", ["part"], "p_brand = 'Brand#11'")
+_one("ft_type_module", "supplier", "s_suppkey", "s_name", "javaIdentifier", "Supplier", ["supplier"], "s_nationkey < 9")
 
 
 def _keyword(name: str, table: str, key: str, column: str, query: str, where: str = "true"):
@@ -72,7 +71,8 @@ def _keyword(name: str, table: str, key: str, column: str, query: str, where: st
         return _rounded(t.search(tables(spark, d, table), key, [(column, "dotQualifiedName", 1.0)], query, F.expr(where)))
 
 
-_keyword("ft_hierarchy", "nation", "n_nationkey", "n_name", "germany")
+_keyword("ft_hierarchy", "customer", "c_custkey", "c_name", "customer#000000007")
+_keyword("ft_annotation", "part", "p_partkey", "p_brand", "Brand#11")
 _keyword("ft_ref", "orders", "o_orderkey", "o_orderpriority", "1-Urgent")
 _keyword("ft_fqn", "customer", "c_custkey", "c_mktsegment", "BUILDING", "c_nationkey = 3")
 
@@ -82,7 +82,12 @@ def ft_type(spark, d):
     return _rounded(t.search(tables(spark, d, "customer"), "c_custkey", [("c_mktsegment", "dotQualifiedName", 2.0), ("c_name", "dotQualifiedName", 1.5)], "MACHINERY"))
 
 
-@register("ft_source")
+_CODE = "list_filter(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)/\\*.*?\\*/|//[^\\n]*', ' ', 'g'), '[\\p{L}_$][\\p{L}\\p{Nd}_$]*|\\p{Nd}[\\p{Nd}\\p{L}_.]*'), lambda x: x <> '')"
+_HUMPS = "string_split(regexp_replace(w, '(\\p{Ll})(\\p{Lu})', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+_SOURCE = f"list_transform(flatten(list_transform({_CODE}, lambda w: CASE WHEN len({_HUMPS}) > 1 THEN list_concat([w], {_HUMPS}) ELSE [w] END)), lambda x: lower(x))"
+
+
+@register("ft_source", _top(_bm25_sql("pages", "page_id", _SOURCE, ["div", "class"])))
 def ft_source(spark, d):
     return _rounded(t.search(tables(spark, d, "pages"), "page_id", [("html", "javaSourceEcj", 1.0)], "div class"))
 

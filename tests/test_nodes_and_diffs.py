@@ -81,3 +81,43 @@ def test_sequences_and_nullness(spark):
     assert got[0] == got[1] != got[2]
     rows = spark.createDataFrame([("new A()", None, "", []), ("m.get(k)", None, "", []), ("v", "null", "", []), ("w", None, "if (w != null)", []), ("u", None, "", ["Nullable"]), ("t", None, "", [])], "e string, i string, c string, a array<string>")
     assert [r["s"]["status"] for r in rows.select(d.nullness("e", "i", "c", "a").alias("s")).collect()] == ["NON_NULL", "NULLABLE", "NULLABLE", "POTENTIALLY_NULLABLE", "NULLABLE", "UNKNOWN"]
+
+
+def test_guards_about_surroundings(spark):
+    """Every guard runs through a report; those about roles of a wider plan have nothing to hold for."""
+    from gritmill.functions.guards import GUARDS, guard_names
+    from gritmill.plans import rules as r
+
+    calls = {"sourceVersionGE": '"1.8"', "sourceVersionLE": "8", "sourceVersionBetween": "8, 11", "mode": "strict", "contains": '"x"', "notContains": '"x"', "inClass": '"A"', "inPackage": '"p"', "parentMatches": '"foo"', "paramCount": "1", "hasReturnType": '"int"', "throwsException": "", "hasField": '"f"', "classOverrides": '"m"', "enclosingClassExtends": '"Base"', "containsAnnotation": '"Deprecated"', "hasSuppressWarnings": '"raw"'}
+    plain = ("otherwise", "isInLoop", "isInConstructor", "isInTryWithResourceBlock", "isPassedToMethod", "isAssignedToLocalVariable", "isResourceVariable", "inSerializableClass")
+    text = "".join(f"@id: {g}\nfoo($a$) :: {g}({calls.get(g, '' if g in plain else '$a$, 1, 2')})\n;;\n" for g in GUARDS if g not in ("isSingleCharacter",) and not g.startswith(("planned", "enclosingPlanned")) and g not in ("isNullable", "genericTypeIs"))
+    text += '@id: role\nfoo($a$) :: plannedRole("x") || plannedRelationCount("x", 1) || plannedValue("a", "b")\n;;\n@id: nullable\nfoo($a$) :: isNullable($a$, 5)\n;;\n@id: generic\nfoo($a$) :: genericTypeIs($a$, 0, "X")\n;;\n'
+    rules = r.parse_rules(text.replace("hasNoSideEffect($a$, 1, 2)", "hasNoSideEffect($a$)"))
+    rules = [x for x in rules if "$a$, 1, 2" not in (x.guard or "") or x.name in ("matchesAny", "matchesNone")] + [x for x in r.parse_rules("".join(f"@id: {g}\nfoo($a$) :: {g}({a})\n;;\n" for g, a in (("isStatic", "$a$"), ("hasModifier", '$a$, "final"'), ("isLiteral", "$a$"), ("isField", "$a$"), ("instanceof", '$a$, "int"'), ("argsCount", "$a$, 2"), ("referencedIn", "$a$, $a$"))))]
+    found = r.matches(spark.createDataFrame([(1, CODE), (2, None)], "file_id long, t string"), "t", rules, ("file_id",))
+    got = {}
+    for row in r.report(found, rules).collect():
+        got.setdefault(row["rule_name"], set()).add(row["line"])
+    assert got["otherwise"] == {6, 11} and got["isInLoop"] == {6} and got["inClass"] == {6} and got["inPackage"] == {6, 11}
+    assert got["hasReturnType"] == {6} and got["containsAnnotation"] == {6} and got["hasSuppressWarnings"] == {6} and got["argsCount"] == {6}
+    assert got["nullable"] == {6, 11} and "role" not in got and "generic" not in got and "isInConstructor" not in got
+    assert guard_names('a($x) && isInLoop || $x instanceof List') == ["isInLoop", "instanceof"]
+
+
+def test_declarations():
+    from gritmill.plans.context import FOUND, Context
+
+    code = "package a.b;\nclass C<T extends D> extends E<F, G> implements H {\n  static final int[] xs = {1};\n  <R> R m(final int a, Map<K, List<V>> b, String... c) throws I, J { int[] q = b(a, xs); Runnable r = new Runnable() { public void run() { b(q); } }; return null; }\n  C() { b(this.xs); }\n}\nenum Z { P, Q; int n; }\n"
+    c = Context(code)
+
+    def at(text, **bindings):
+        return dict(zip(FOUND, c.around(code.index(text), code.index(text) + len(text), {f"${k}": [v] for k, v in bindings.items()}), strict=True))
+
+    one = at("b(a, xs)", a="a", x="xs", b="b", u="nowhere")
+    assert (one["package_name"], one["class_name"], one["supertypes"], one["fields"], one["methods"]) == ("a.b", "a.b.C", ["E", "H"], ["xs"], ["m"])
+    assert (one["return_type"], one["parameters"], one["thrown"], one["parent_kind"]) == ("R", ["int", "Map<K,List<V>>", "String..."], ["I", "J"], "LOCAL_VARIABLE")
+    assert one["element_kinds"] == {"$a": "PARAMETER", "$x": "FIELD", "$b": "PARAMETER"} and one["modifiers"]["$x"] == ["static", "final"] and one["types"]["$b"] == ["Map<K,List<V>>", "Map"]
+    assert at("b(q)", q="q")["element_kinds"] == {"$q": "LOCAL_VARIABLE"}
+    two = at("b(this.xs)", x="this.xs")
+    assert two["return_type"] == "" and two["element_kinds"] == {"$x": "FIELD"} and "CONSTRUCTOR_DECLARATION" in two["ancestors"]
+    assert Context("").around(0, 0, {})[0] == "" and Context("class").types == [] and Context("class A { void m( {").types[0].name == "A"
