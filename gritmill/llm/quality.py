@@ -167,11 +167,14 @@ def _measurer(min_repeat: int):
     return run
 
 
-def repetition_rules(docs: DataFrame, min_repeat: int = 10, max_covered: float = 0.3, max_longest: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def repetition_rules(docs: DataFrame, min_repeat: int = 5, max_covered: float = 0.15, max_longest: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, the counts of COLUMNS, base_failed and kept; `keep` names columns of docs to carry.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: not base_failed, at most
     `max_covered` of the words covered by repeats of `min_repeat` words or more, and no repeat over `max_longest` words.
+    Five words and 0.15 are the published limit on text in repeated 5-grams of Rae et al. (2021), here on words; a repeat
+    of more than 50 words is a passage, as elsewhere in this subpackage. A very long text is measured whole, by one task,
+    with some 100 bytes of working memory a word.
     Null and empty texts have no words and fail. Repeated rows and null doc_ids give a row each; an empty table gives none.
     """
     rest = [c for c in keep if c not in (id_col, text_col)]

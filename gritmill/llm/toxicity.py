@@ -98,10 +98,14 @@ def fit(words: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, ro
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words: int = 40_000_000, seed: int = 20240607, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
-    """Fits on rows of `labels` (0 or 1; null and other values are left out) whose crc32(doc_id) mod 4 is not 2."""
+    """Fits on rows of `labels` (0 or 1; null and other values are left out) whose crc32(doc_id) mod 4 is not 2.
+
+    Where a doc_id's labels clash it counts as toxic; repeated rows of a text count each. No labels, or labels of one kind
+    alone, give a model that says so of every text. A very long text counts with all its words, up to max_words in all.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 4 <> 2")
-    chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_train)  # the documented bound
+    chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_train)  # the documented bound
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(_features, "toxic int, words binary, sizes binary")
     got = sorted(((r["toxic"], bytes(r["words"]), bytes(r["sizes"])) for r in rows.collect()), key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
