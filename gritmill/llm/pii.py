@@ -38,22 +38,46 @@ def _prepared(text: Column) -> Column:
     return F.translate(text, _MARK, _FREE)
 
 
+_GROUP = 256
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once for all its uses in lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _running(values: Column, step, zero: int) -> Column:
+    """Of an array of ints: step over all elements up to each one (a running sum, or maximum).
+
+    Groups of _GROUP elements first, then within each; a fold over all would copy an array that grows with every element.
+    """
+
+    def each(v):
+        groups = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / _GROUP).cast("int") - 1, F.lit(0)))
+        part = lambda g: F.slice(v, g * _GROUP + 1, F.lit(_GROUP))
+        whole = F.transform(groups, lambda g: F.aggregate(part(g), F.lit(zero), step))
+        before = F.aggregate(whole, F.array(F.lit(zero)), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+        within = lambda g, first: F.slice(F.aggregate(part(g), F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x)))), 2, _GROUP)
+        return F.flatten(F.transform(F.arrays_zip(groups.alias("g"), F.slice(before, F.lit(1), F.size(groups)).alias("b")), lambda x: within(x["g"], x["b"])))
+
+    return _let(values, each)
+
+
 def _finds(text: Column, pattern: str, when: Column) -> Column:
     """array<struct<start, end, found, before>> of the leftmost non-overlapping matches; offsets in code points, end exclusive.
 
-    The pieces between matches come from split(), whose lengths give the offsets.
+    The pieces between matches come from split(); running sums of their lengths give the offsets.
     """
     kind = "array<struct<start:int,end:int,found:string,before:string>>"
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     pairs = F.filter(pairs, lambda x: x["m"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(state, x):
-        a = state["at"] + F.length(x["p"])
-        z = a + F.length(x["m"])
-        return F.struct(z.alias("at"), F.concat(state["out"], F.array(F.struct(a.alias("start"), z.alias("end"), x["m"].alias("found"), F.right(x["p"], F.lit(_LEFT)).alias("before")))).alias("out"))
+    def placed(found):
+        ends = _running(F.transform(found, lambda x: F.length(x["p"]) + F.length(x["m"])), lambda a, x: a + x, 0)
+        one = lambda x, z: F.struct((z - F.length(x["m"])).alias("start"), z.alias("end"), x["m"].alias("found"), F.right(x["p"], F.lit(_LEFT)).alias("before"))
+        return F.zip_with(found, ends, one).cast(kind)
 
-    return F.when(when, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
+    return F.coalesce(F.when(when, _let(pairs, lambda found: F.when(F.size(found) > 0, placed(found)))), F.array().cast(kind))
 
 
 def _digits(x: Column) -> Column:
@@ -97,10 +121,17 @@ _STRICT = {
     "card": r"[0-9][0-9\x01]+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_AT = r"(?: ?(?:\[at\]|\(at\)|\{at\}|<at>) ?| at )"
+_DOT = r"(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\[\.\]|\(\.\)) ?| dot )"
 _LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\[dot\]|\(dot\)|\{dot\}) ?[A-Za-z0-9-]{1,63}+){1,4}",
-    "phone": r"(?<![0-9+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])(?![.-][0-9])",
-    "card": r"(?<![0-9.-])[0-9]{4}([ .-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])(?![.-][0-9])",
+    # spelled-out signs
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}}+){{1,4}}",
+    # defanged or spaced dots
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?: ?\[\.\] ?| ?\(\.\) ?| ?\[dot\] ?| \. )[0-9]{1,3}){3}(?![0-9.])",
+    # national forms, and 00 for the plus sign
+    "phone": r"(?<![0-9+.-])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ ./-])[0-9]{3}[ .-][0-9]{4}|00[1-9][0-9]{0,2}[ ./-][0-9]{1,4}(?:[ ./-][0-9]{2,4}){2,4})(?![0-9])(?![.-][0-9])",
+    # four groups of four whatever their check digit, and groups parted by dots or slashes
+    "card": r"(?<![0-9.-])[0-9]{4}([ ./-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])(?![.-][0-9])",
 }
 
 
@@ -122,7 +153,12 @@ def base_finds(text: str) -> dict[str, Column]:
 
 def loose_finds(text: str) -> dict[str, Column]:
     plain = F.col(text)
-    gate = {"email": F.rlike(plain, F.lit(r"[\[({](?i:at)[\])}]")), "phone": F.rlike(plain, F.lit(r"[0-9]{3}[ .-][0-9]{4}")), "card": F.rlike(plain, F.lit(r"[0-9]{4}[ .-]?[0-9]{4}[ .-]?[0-9]{4}"))}
+    gate = {
+        "email": F.rlike(plain, F.lit(r"(?i)[\[({<]at[\])}>]| at [a-z0-9-]{1,63}(?: dot |\.[a-z])|[\[({](?:dot|\.)[\])}]")),
+        "ip": F.rlike(plain, F.lit(r"(?i)[0-9](?: ?\[\.\]| ?\(\.\)| ?\[dot\]| \. ?[0-9])")),
+        "phone": F.rlike(plain, F.lit(r"[0-9]{3}[ .-][0-9]{4}|(?<![0-9])00[1-9][0-9]{0,2}[ ./-]")),
+        "card": F.rlike(plain, F.lit(r"[0-9]{4}[ ./-]?[0-9]{4}[ ./-]?[0-9]{4}")),
+    }
     return {k: _finds(plain, f"(?i){p}", gate[k]) for k, p in _LOOSE.items()}
 
 
@@ -158,8 +194,23 @@ def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base, more = base_finds("pii_text"), loose_finds("pii_text")
     out = clean.withColumn("pii_base", F.concat(*(_signed(base[k], k, True) for k in KINDS)))
     out = out.withColumn("pii_more", F.concat(*(_signed(more[k], k, False) for k in KINDS if k in more)))
-    apart = F.filter("pii_more", lambda m: ~F.exists(F.col("pii_base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return out.withColumn("pii_more", F.when(F.size("pii_more") > 0, apart).otherwise(F.col("pii_more"))).drop("pii_text")
+    return out.withColumn("pii_more", F.when(F.size("pii_more") > 0, _apart(F.col("pii_more"), F.col("pii_base"))).otherwise(F.col("pii_more"))).drop("pii_text")
+
+
+def _apart(more: Column, base: Column) -> Column:
+    """More-finds that meet no base find: in order of starts, none before ends later, and none after starts earlier than they end."""
+    far = (1 << 31) - 1
+    item = lambda x, k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("more"), x["kind"].alias("kind"), x["votes"].alias("votes"))
+    every = F.array_sort(F.concat(F.transform(base, lambda x: item(x, 0)), F.transform(more, lambda x: item(x, 1))))
+
+    def keep(rows):
+        ends = _running(F.transform(rows, lambda x: F.when(x["more"] == 0, x["end"]).otherwise(-1)), lambda a, x: F.greatest(a, x), -1)
+        starts = F.reverse(_running(F.reverse(F.transform(rows, lambda x: F.when(x["more"] == 0, x["start"]).otherwise(far))), lambda a, x: F.least(a, x), far))
+        zipped = F.zip_with(rows, F.arrays_zip(ends.alias("z"), starts.alias("a")), lambda x, y: F.struct(x.alias("x"), y["z"].alias("z"), y["a"].alias("a")))
+        free = F.filter(zipped, lambda y: (y["x"]["more"] == 1) & (y["z"] <= y["x"]["start"]) & (y["a"] >= y["x"]["end"]))
+        return F.transform(free, lambda y: F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), y["x"]["kind"].alias("kind"), y["x"]["votes"].alias("votes")))
+
+    return _let(every, keep)
 
 
 def estimate(counts: dict[tuple[str, str], int], rounds: int = 50) -> tuple[dict, dict]:
@@ -220,7 +271,7 @@ def train(counts: dict[tuple[str, str], int], post: dict, rounds: int = 300, rat
 
 
 def fit(found: DataFrame) -> dict[str, float]:
-    """Classifier weights from a frame with pii_base and pii_more. Only counts by kind and votes reach the driver (at most 4 * 3^4 rows)."""
+    """Classifier weights from a frame with pii_base and pii_more. Only counts by kind and votes reach the driver (at most 4 * 2 * 3^3 rows)."""
     each = found.select(F.explode(F.concat("pii_base", "pii_more")).alias("x")).groupBy("x.kind", "x.votes").count().collect()
     counts = {(r["kind"], r["votes"]): r["count"] for r in sorted(each, key=lambda r: (r["kind"], r["votes"]))}
     return train(counts, estimate(counts)[1])
@@ -251,7 +302,8 @@ def find_pii(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base finds), base_sha256, spans.
 
     Null and empty texts have no finds (base_sha256 of nothing, spans ""). Repeated rows and null doc_ids give a row each;
-    other columns are not read; an empty table gives no rows.
+    other columns are not read; an empty table gives no rows. Time grows with a text's length and number of finds, so a
+    very long text is one long row of one task.
     """
     rows = extract(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
     found = scratch.save(rows, "pii")
@@ -268,20 +320,32 @@ def redact(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFra
     """The same columns, with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
     found = scratch.save(extract(docs, text_col), "pii")
     spans = accepted(found, fit(found))
-    kind = "array<struct<start:int,end:int,kind:string>>"
 
-    def merge(state, x):
-        last = F.element_at(state, -1)
-        meets = (F.size(state) > 0) & (F.try_element_at(state, F.lit(-1))["end"] > x["start"])
-        one = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when(meets, F.concat(F.slice(state, 1, F.size(state) - 1), F.array(grown))).otherwise(F.concat(state, F.array(one)))
+    def merge(rows):
+        # a span that starts where none before reaches begins a new one, which ends where the furthest up to the next such span does
+        upto = _running(F.transform(rows, lambda x: x["end"]), lambda a, x: F.greatest(a, x), 0)
+        before = F.concat(F.array(F.lit(0)), F.slice(upto, F.lit(1), F.size(rows) - 1))
+        heads = F.filter(F.zip_with(rows, before, lambda x, z: F.struct(x.alias("x"), z.alias("z"))), lambda y: y["z"] <= y["x"]["start"])
+        last = F.concat(F.transform(F.slice(heads, F.lit(2), F.size(heads)), lambda y: y["z"]), F.array(F.element_at(upto, -1)))
+        return F.zip_with(heads, last, lambda y, z: F.struct(y["x"]["start"].alias("start"), z.alias("end"), y["x"]["kind"].alias("kind")))
 
-    merged = F.aggregate(spans, F.array().cast(kind), merge)
+    merged = F.coalesce(_let(spans, lambda rows: F.when(F.size(rows) > 0, merge(rows))), F.array().cast("array<struct<start:int,end:int,kind:string>>"))
     text = F.col(text_col)
     out = found.withColumn("pii_merged", merged)
     ends = F.concat(F.array(F.lit(0)), F.transform("pii_merged", lambda x: x["end"]))
-    parts = F.zip_with(F.col("pii_merged"), F.slice(ends, 1, F.size("pii_merged")), lambda x, a: F.concat(F.substring(text, a + 1, x["start"] - a), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+    # each span with the end of the one before; the text between is cut from a stretch of _GROUP spans, as offsets count from its start
+    items = F.zip_with(F.col("pii_merged"), F.slice(ends, 1, F.size("pii_merged")), lambda x, a: F.struct(a.alias("a"), x["start"].alias("s"), x["end"].alias("z"), x["kind"].alias("kind")))
+
+    def pieces(rows):
+        groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(rows) / _GROUP).cast("int") - 1), lambda g: F.slice(rows, g * _GROUP + 1, F.lit(_GROUP)))
+
+        def cut(part):
+            first = part[0]["a"]
+            stretch = F.substring(text, first + 1, F.element_at(part, -1)["s"] - first)
+            return _let(stretch, lambda here: F.array_join(F.transform(part, lambda x: F.concat(F.substring(here, x["a"] - first + 1, x["s"] - x["a"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))), ""))
+
+        return F.array_join(F.transform(groups, cut), "")
+
     tail = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
-    new = F.when(F.size("pii_merged") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)
+    new = F.when(F.size("pii_merged") > 0, F.concat(_let(items, pieces), tail)).otherwise(text)
     return out.withColumn(text_col, new).select(*docs.columns)

@@ -175,6 +175,32 @@ def test_suffix_dedup_odd_rows(spark, odd):
     assert not suffix_dedup.suffix_dedup(odd.limit(0), Scratch(spark, "t")).collect()
 
 
+def test_pii_many_finds_and_overlaps(spark):
+    """Offsets, overlaps and redaction over more finds than a group holds, against a plain version."""
+    rng = random.Random(3)
+    parts = ["joe@a.co", "1.2.3.4", "x@1.2.3.4", "é😀", "+1 743 555 3824", "212 555 0199", "4539 5787 6362 1486", "1234 5678 9012 3456", "at home dot", "ann [at] b [dot] org", "10[.]0[.]0[.]7", "0044 20 7946 0958"]
+    texts = [" ".join(rng.choice(parts) for _ in range(n)) for n in (0, 1, 5, 255, 256, 257, 700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    rows, more = by_id(pii.find_pii(df, scratch)), 0
+    plain = by_id(pii.redact(df, scratch))
+    for k, t in enumerate(texts):
+        base, spans = ([(int(a), int(z), kind) for kind, a, z in (x.split(":") for x in found if x)] for found in (brute.pii(t), rows[k]["spans"].split(",")))
+        assert spans == sorted(spans, key=lambda x: (x[0], pii.KINDS.index(x[2]))) and set(base) <= set(spans)
+        extra = [x for x in spans if x not in base]
+        assert not any(a < y and x < z for a, z, _ in extra for x, y, _ in base)
+        more += len(extra)
+        want, at, end, name = "", 0, -1, ""
+        for a, z, kind in spans:
+            if a >= end:
+                want += (f"<{name.upper()}>" if name else "") + t[max(at, end) : a]
+                end, name, at = z, kind, a
+            end = max(end, z)
+        want += (f"<{name.upper()}>" if name else "") + t[max(end, 0) :]
+        assert plain[k]["text"] == want, k
+    assert more
+
+
 @pytest.mark.parametrize("name", ["docs", "table"])
 def test_quality_base(request, name):
     df = request.getfixturevalue(name)
