@@ -26,9 +26,13 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/gritmill-{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.drop, self.root)
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def folder(self, name: str) -> str:
+        """A path of its own in the scratch folder."""
         self.n += 1
-        path = f"{self.root}/{name}-{self.n}"
+        return f"{self.root}/{name}-{self.n}"
+
+    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+        path = self.folder(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path

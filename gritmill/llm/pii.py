@@ -299,7 +299,7 @@ def written(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base finds), base_sha256, spans.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base finds), base_sha256, spans, n_spans.
 
     Null and empty texts have no finds (base_sha256 of nothing, spans ""). Repeated rows and null doc_ids give a row each;
     other columns are not read; an empty table gives no rows. Time grows with a text's length and number of finds, so a
@@ -313,7 +313,7 @@ def find_pii(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         return F.size(F.filter("pii_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written(in_order(F.col("pii_base"))), 256).alias("base_sha256"), written(every).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(in_order(F.col("pii_base"))), 256).alias("base_sha256"), written(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:

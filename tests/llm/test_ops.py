@@ -1,5 +1,6 @@
 """Each operator against its plain version, on the driver's smallest table and on rows made to be awkward."""
 
+import os
 import random
 
 import numpy as np
@@ -440,6 +441,35 @@ def test_rans_round_trip():
         rans.decode(states, words + b"\0\0\0\0", n, table)
 
 
+def test_rans_checkpoints():
+    rng = np.random.default_rng(9)
+    ids = np.minimum(rng.zipf(1.3, 30001), 60000).astype(np.uint16)
+    table = rans.Table({int(k): int(c) for k, c in zip(*np.unique(ids, return_counts=True), strict=True)})
+    states, words, marks = rans.encode_marked(ids, table, 2048, 4096)
+    assert (states, words) == rans.encode(ids, table) and [m[0] for m in marks] == list(range(4096, 30001, 4096))
+    row = {"n_tokens": len(ids), "states": states, "words": words, "mark_ids": [m[0] for m in marks], "mark_words": [m[1] for m in marks], "mark_states": [m[2] for m in marks]}
+    parts = rans.segments(row)
+    # each part for itself, in any order
+    got = {k: rans.decode(*parts[k], table, k == len(parts) - 1) for k in rng.permutation(len(parts))}
+    assert (np.concatenate([got[k] for k in sorted(got)]) == ids).all()
+
+
+def test_token_files_are_read_by_a_fresh_session(spark, docs, tmp_path):
+    """Another process, which knows the folder alone, reads the same rows."""
+    import json
+    import subprocess
+    import sys
+
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "files")
+    rans.write_ids(docs, Scratch(spark, "t"), folder, path, 2, block_tokens=3000)
+    want = sorted(tuple(r) for r in rans.token_files(docs, Scratch(spark, "t"), path, block_tokens=5000).collect())
+    assert sorted(tuple(r) for r in rans.read_ids(spark, folder).collect()) == want
+    assert spark.read.parquet(f"{folder}/blocks").where("size(mark_ids) > 0").count() > 0
+    code = f"from pyspark.sql import SparkSession\nimport json\nfrom gritmill.llm import rans\ns = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\nprint(json.dumps(sorted(tuple(r) for r in rans.read_ids(s, {folder!r}).collect())))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300, env={k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": os.getcwd()})
+    assert [tuple(x) for x in json.loads(out.stdout.strip().splitlines()[-1])] == want
+
+
 def test_token_files_odd_rows(spark, odd):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = rans.token_files(odd, Scratch(spark, "t"), path).orderBy("start").collect()
