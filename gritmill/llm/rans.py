@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gritmill.llm.common import Scratch, text_bytes, tidy
-from gritmill.llm.tokens import pieces
+from gritmill.llm.tokens import pieces, release
 
 LANES = 2048
 _LOW = np.uint64(1 << 31)
@@ -125,6 +125,7 @@ def _tokenize(path: str, end_id: int):
 
 def _count(width: int):
     def run(batches):
+        release()
         total = np.zeros(1, np.int64)
         for b in batches:
             for x in text_bytes(b.column(0)):
@@ -145,6 +146,7 @@ BLOCK = "part int, block int, inside long, n_tokens long, n_docs int, doc_ids ar
 
 def _write(table: Table, width: int, block_tokens: int):
     def run(batches):
+        release()
         part, block = TaskContext.get().partitionId(), 0
         docs: list = []
         texts: list[bytes] = []
@@ -191,6 +193,7 @@ def _read(table: Table):
     schema = pa.schema([(x.split()[0], pa.int64()) for x in READ.split(", ")])
 
     def run(batches):
+        release()
         for b in batches:
             for row in b.to_pylist():
                 if zlib.crc32(row["states"] + row["words"]) != row["words_crc32"]:

@@ -202,6 +202,32 @@ def test_pii_many_finds_and_overlaps(spark):
     assert more
 
 
+@pytest.mark.parametrize("overlap", [False, True])
+def test_mixing_beyond_the_patterns_of_the_driver(spark, overlap):
+    """The distributed way gives what the flow gives, with sources that share documents and without."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40, 200])), None if i % 37 == 0 else f"s{rng.randrange(60):02d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    members = F.when((F.col("doc_id") % 50 == 1) & F.lit(overlap), F.array(F.col("source"), F.lit("s03"), F.lit("s04"))).otherwise(F.array("source"))
+    a = by_id(mixing.mix(df, Scratch(spark, "t"), members=members))
+    b = by_id(mixing.mix(df, Scratch(spark, "t"), members=members, max_patterns=40))
+    assert a.keys() == b.keys()
+    for k, x in a.items():
+        y = b[k]
+        assert (x["size"], x["source_size"]) == (y["size"], y["source_size"]) and abs(x["target"] - y["target"]) < 1e-6 and y["taken"] <= 2 * y["size"]
+    first, second = {}, {}
+    for k in a:
+        key = tuple(a[k]["sources"])
+        first[key] = first.get(key, 0) + a[k]["taken"]
+        second[key] = second.get(key, 0) + b[k]["taken"]
+    if overlap:
+        assert sum(first.values()) == sum(second.values())
+    else:
+        assert first == second and [a[k]["taken"] for k in sorted(a)] == [b[k]["taken"] for k in sorted(b)]
+    with pytest.raises(ValueError):
+        mixing.mix(df, Scratch(spark, "t"), members=F.array(F.lit("x"), F.col("doc_id").cast("string")), max_patterns=40)
+
+
 @pytest.mark.parametrize("name", ["docs", "table"])
 def test_quality_base(request, name):
     df = request.getfixturevalue(name)
