@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gritmill.llm.common import text_bytes
+from gritmill.llm.tokens import release
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -150,6 +151,7 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _measurer(min_repeat: int):
     def run(batches):
+        release()
         for b in batches:
             out, held, size = [], [], 0
             for t in text_bytes(b.column(b.num_columns - 1)):

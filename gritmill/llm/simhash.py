@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gritmill.llm.common import Scratch, text_bytes
 from gritmill.llm.components import connected_components
+from gritmill.llm.tokens import release
 
 #: Bits 0 to 7 (the least first) of each byte value.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -52,6 +53,7 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def _fingerprints(batches):
+    release()
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([fingerprint(t) for t in text_bytes(b.column(1))], pa.int64())], schema=_FP)
 
