@@ -158,15 +158,15 @@ def public_only(diff: DataFrame, visibility: str) -> DataFrame:
 def dead_code(df: DataFrame, key: str, names: str, imports: str) -> DataFrame:
     """Keys none of whose qualified names is imported, exactly or by its package's star, anywhere (their own imports count).
 
-    Both sides are exploded and meet in equality joins; a name without a package can only be imported exactly.
+    Each name asks for itself and for its package's star; these meet the distinct imports in one equality join, and a key
+    stays if none was met. So each side is read once. A name without a package can only be imported exactly.
     """
-    declared = df.select(key, F.explode(names).alias("name")).where(F.trim("name") != "")
-    imported = df.select(F.explode(imports).alias("name")).where(F.trim("name") != "").distinct()
-    stars = imported.where(F.endswith(F.col("name"), F.lit(".*"))).select(F.expr("substring(name, 1, length(name) - 2)").alias("package")).distinct()
-    package = F.when(F.length("name") - F.length(F.substring_index("name", ".", -1)) > 1, F.expr("substring(name, 1, length(name) - length(substring_index(name, '.', -1)) - 1)"))
-    exact = declared.join(imported, "name", "left_semi").select(key)
-    starred = declared.withColumn("package", package).where("package <> ''").join(stars, "package", "left_semi").select(key)
-    return declared.select(key).distinct().join(exact.union(starred), key, "left_anti")
+    package = F.expr("substring(name, 1, length(name) - length(substring_index(name, '.', -1)) - 1)")
+    declared = df.select(key, F.explode(F.array_distinct(names)).alias("name")).where(F.trim("name") != "")
+    asked = declared.select(key, F.explode(F.array_compact(F.array("name", F.when(package != "", F.concat(package, F.lit(".*")))))).alias("asked"))
+    imported = df.select(F.explode(F.array_distinct(imports)).alias("asked")).where(F.trim("asked") != "").distinct()
+    met = asked.join(imported.withColumn("met", F.lit(True)), "asked", "left")
+    return met.groupBy(key).agg(F.max("met").alias("met")).where("met is null").select(key)
 
 
 def new_only(fresh: DataFrame, known: DataFrame, *on: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Full-text search: analyzers as columns, postings, BM25.
 
-Analysis runs on the JVM. An index is two frames: postings (token, doc_id, tf) and documents (doc_id, len). A query's few
-terms filter the postings before anything is joined; corpus statistics are one aggregate row.
+Analysis runs on the JVM, once a text. An index is written once: postings (token, doc_id, tf, len), sorted by token over
+ranges, so that a query reads only the row groups of its tokens; and one row of corpus statistics. A hot token's postings
+spread over ranges by document. A search without an index makes one pass, which keeps a few counts a document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from gritmill.checkpoints import written
 
 K1, B = 1.2, 0.75
 
@@ -87,20 +90,48 @@ def analysed(df: DataFrame, key: str, text, analyzer: str) -> DataFrame:
 def bm25(docs: DataFrame, query_terms: list[str]) -> DataFrame:
     """(doc_id, score) of documents (doc_id, tokens) that hold a term: sum of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg)).
 
-    One pass counts each term's documents and lengths; a second scores. No postings are shuffled: a document scores itself.
+    Texts are analysed in one pass, which writes lengths and counts of the terms; statistics and scores read those.
     """
     if not query_terms:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    sized = docs.select("doc_id", F.size("tokens").alias("len"), *(F.size(F.filter("tokens", _equals(q))).alias(f"tf{i}") for i, q in enumerate(query_terms)))
+    # through a generator, tokens are made once for all counts; as an expression they would be made for each
+    once = docs.select("doc_id", F.explode(F.array("tokens")).alias("tokens"))
+    sized = once.select("doc_id", F.size("tokens").alias("len"), *(F.size(F.filter("tokens", _equals(q))).alias(f"tf{i}") for i, q in enumerate(query_terms)))
+    sized = written(sized, "sized")
     stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query_terms))))
-    both = sized.join(F.broadcast(stats))  # one row of counts
+    both = sized.where(" or ".join(f"tf{i} > 0" for i in range(len(query_terms)))).join(F.broadcast(stats))  # one row of counts
+    score = sum((_part(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("n"), F.col("len"), F.col("avg")) for i in range(len(query_terms))), F.lit(0.0))
+    return both.withColumn("score", score).where("score > 0").select("doc_id", "score")
 
-    def part(i: int) -> Column:
-        tf, idf = F.col(f"tf{i}"), F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))).otherwise(F.lit(0.0))
 
-    score = sum((part(i) for i in range(1, len(query_terms))), part(0))
-    return both.withColumn("score", score).where("score > 0").select("doc_id", "score")
+def _part(tf: Column, df: Column, n: Column, length: Column, avg: Column) -> Column:
+    """One term's share of a document's score."""
+    return F.when(tf > 0, F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))).otherwise(F.lit(0.0))
+
+
+def write_index(df: DataFrame, key: str, text, analyzer: str, folder: str) -> None:
+    """Writes `folder`/postings (token, doc_id, tf, len) and `folder`/stats (n, avg). Null texts count as empty documents."""
+    tokens = analysed(df, key, text, analyzer).select("doc_id", F.explode(F.array("tokens")).alias("tokens")).select("doc_id", F.size("tokens").alias("len"), "tokens")
+    found = tokens.select("doc_id", "len", F.explode_outer("tokens").alias("token")).groupBy("token", "doc_id", "len").agg(F.count("*").alias("tf"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found.repartitionByRange(parts, "token", "doc_id").sortWithinPartitions("token", "doc_id").write.parquet(f"{folder}/postings")
+    # every document has one row at least, that of no token if it is empty
+    each = df.sparkSession.read.parquet(f"{folder}/postings").groupBy("doc_id").agg(F.max("len").alias("len"))
+    each.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).coalesce(1).write.parquet(f"{folder}/stats")
+
+
+def search_index(spark: SparkSession, folder: str, query: str, analyzer: str, offset: int = 0, limit: int = 20) -> DataFrame:
+    """(doc_id, score) of an index's documents, best first: only the postings of the query's tokens are read."""
+    every = spark.read.parquet(f"{folder}/postings")
+    wanted = terms(every, query, analyzer)
+    if not wanted:
+        return every.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    rows = every.where(F.col("token").isin(wanted))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"))
+    stats = spark.read.parquet(f"{folder}/stats")
+    told = rows.join(F.broadcast(counts), "token").join(F.broadcast(stats))  # one row a token of the query, and one row
+    score = _part(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("avg"))
+    return told.groupBy("doc_id").agg(F.sum(score).alias("score")).where("score > 0").orderBy(F.col("score").desc(), "doc_id").offset(offset).limit(limit)
 
 
 def _equals(q: str):

@@ -1,8 +1,12 @@
 """Full-text, vector and hybrid search."""
 
+import atexit
+import uuid
+
 from pyspark.sql import functions as F
 
 from gritmill.catalog import register
+from gritmill.checkpoints import drop_folder, shared_dir
 from gritmill.operators import index_queries as q
 from gritmill.operators import text_search as t
 from gritmill.operators import vector_search as v
@@ -44,11 +48,28 @@ def _sql(kind: str, column: str) -> str:
     return {"javaIdentifier": _KEEP, "javaPath": _PATH, "commitMessage": _STOP, "genericContent": _STOP}[kind].replace("{c}", column)
 
 
+_written: dict = {}
+
+
+def _index(spark, d: str, table: str, key: str, column: str, analyzer: str) -> str:
+    """The folder of the index of a table's column, written by the first search that wants it in this session."""
+    kind = t.ANALYZERS[analyzer]
+    want = (spark.sparkContext.applicationId, d, table, key, column, kind)
+    if want not in _written:
+        folder = f"{shared_dir(spark)}/gritmill-index-{uuid.uuid4().hex}"
+        atexit.register(drop_folder, spark, folder)
+        t.write_index(tables(spark, d, table), key, column, analyzer, folder)
+        _written[want] = folder
+    return _written[want]
+
+
 def _one(name: str, table: str, key: str, column: str, analyzer: str, query: str, terms: list[str], where: str = "true"):
     """Registers a search over one field."""
 
     @register(name, _top(_bm25_sql(table, key, _sql(analyzer, column), terms, where=where)))
     def run(spark, d):
+        if where == "true":
+            return _rounded(t.search_index(spark, _index(spark, d, table, key, column, analyzer), query, analyzer))
         return _rounded(t.search(tables(spark, d, table), key, [(column, analyzer, 1.0)], query, F.expr(where)))
 
 
