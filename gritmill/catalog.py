@@ -22,4 +22,4 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from gritmill.queries import functions, graph, index, mining, pipelines, rules, search  # noqa: F401
+    from gritmill.queries import functions, graph, index, mining, pipelines, rules, search, state  # noqa: F401

@@ -279,13 +279,39 @@ def _starts(pattern: list[str], tokens: list[str], places: dict[str, list[int]],
     return sorted(out)
 
 
+def plan(rules: list[Rule], token: re.Pattern = TOKEN) -> list[tuple[int, str, str, list[str]]]:
+    """(number, name, kind, pattern's tokens) of each rule."""
+    return [(i, r.name, r.kind, [m.group() for m in token.finditer(r.pattern.rstrip(";") if r.kind in ("METHOD_CALL", "EXPRESSION") else r.pattern)]) for i, r in enumerate(rules)]
+
+
+def find(text: str, plans: list[tuple[int, str, str, list[str]]], fold: bool = False):
+    """(rule, name, kind, start, end, bindings) of all matches in one text."""
+    lexed = lex(text)
+    tokens = [t for t, _, _ in lexed]
+    places: dict[str, list[int]] = {}
+    for i, t in enumerate(tokens):
+        places.setdefault(t, []).append(i)
+    for i, name, kind, pattern in plans:
+        anchor = next((k for k, t in enumerate(pattern) if not t.startswith("$")), None)
+        starts = _starts(pattern, tokens, places, anchor) if not fold else range(len(tokens))
+        last = -1
+        for at in starts:
+            if anchor != 0 and (at <= last or not re.match(r"[\w$\"'(]", tokens[at]) or tokens[at] in _NO_START or at and tokens[at - 1] in (".", "new")):
+                continue
+            found = match_at(pattern, tokens, at, fold)
+            if found and found[0] > at:
+                if anchor != 0:
+                    last = found[0] - 1
+                yield i, name, kind, lexed[at][1], lexed[found[0] - 1][2], {k: [_compact(x) for x in v] for k, v in found[1].items()}
+
+
 def matches(df: DataFrame, source: str, rules: list[Rule], keep: tuple[str, ...] = ("file_path",), fold: bool = False, context: bool | None = None) -> DataFrame:
     """All matches of all rules: the kept columns, MATCH, and with context FOUND, which guards about surroundings read.
 
     Each source is cut into tokens once; rules are tried where their first word stands. Texts that hold none of the rules'
     words never leave the JVM. Context is found if a rule's guard asks for it, or as told.
     """
-    plans = [(i, r.name, r.kind, [m.group() for m in TOKEN.finditer(r.pattern.rstrip(";") if r.kind in ("METHOD_CALL", "EXPRESSION") else r.pattern)]) for i, r in enumerate(rules)]
+    plans = plan(rules)
     context = needs_context(rules) if context is None else context
     extra = FOUND if context else {}
     fields = df.select(*keep).schema
@@ -299,28 +325,11 @@ def matches(df: DataFrame, source: str, rules: list[Rule], keep: tuple[str, ...]
                 text = rec[-1]
                 if not isinstance(text, str):
                     continue
-                lexed = lex(text)
-                tokens = [t for t, _, _ in lexed]
-                places: dict[str, list[int]] = {}
-                for i, t in enumerate(tokens):
-                    places.setdefault(t, []).append(i)
                 around = None
-                for i, name, kind, pattern in plans:
-                    anchor = next((k for k, t in enumerate(pattern) if not t.startswith("$")), None)
-                    starts = _starts(pattern, tokens, places, anchor) if not fold else range(len(tokens))
-                    last = -1
-                    for at in starts:
-                        if anchor != 0 and (at <= last or not re.match(r"[\w$\"'(]", tokens[at]) or tokens[at] in _NO_START or at and tokens[at - 1] in (".", "new")):
-                            continue
-                        found = match_at(pattern, tokens, at, fold)
-                        if found and found[0] > at:
-                            if anchor != 0:
-                                last = found[0] - 1
-                            a, z = lexed[at][1], lexed[found[0] - 1][2]
-                            bindings = {k: [_compact(x) for x in v] for k, v in found[1].items()}
-                            if context:
-                                around = around or Context(text)
-                            rows.append((*rec[:-1], i, name, kind, a, z, text.count("\n", 0, a) + 1, text[a:z], bindings, *(around.around(a, z, bindings) if context else ())))
+                for i, name, kind, start, end, bindings in find(text, plans, fold):
+                    if context:
+                        around = around or Context(text)
+                    rows.append((*rec[:-1], i, name, kind, start, end, text.count("\n", 0, start) + 1, text[start:end], bindings, *(around.around(start, end, bindings) if context else ())))
             yield pd.DataFrame(rows, columns=columns)
 
     rows = df.select(*keep, F.col(source).alias("_source"))

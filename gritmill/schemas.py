@@ -26,8 +26,9 @@ GIT_PACKS = _table(repository_name=_S, pack_name=_S, pack_extension=_S, data=T.B
 GIT_REFS = _table(version=_L, repository_name=_S, ref_name=_S, object_id=_S, symbolic_target=_S, is_peeled=_B, peeled_object_id=_S, updated_at=_TS)
 GIT_REFLOG = _table(id=_L, version=_L, repository_name=_S, ref_name=_S, old_id=_S, new_id=_S, who_name=_S, who_email=_S, who_when=_TS, message=_S)
 COMMIT_EVALUATION = _table(
-    commitHash=_S, repoUrl=_S, commitMessage=_S, commitDate=_TS, evaluatedAt=_TS, relevant=_B, irrelevantReason=_S, isDuplicate=_B, trafficLight=_S, category=_S, reusability=_I, codeImprovement=_I,
-    implementationEffort=_I, dslRule=_S, dslRuleAfterChange=_S, dslValidationResult=_S, languageChangeNeeded=_S, summary=_S, targetHintFile=_S,
+    commitHash=_S, commitMessage=_S, repoUrl=_S, evaluatedAt=_TS, commitDate=_TS, relevant=_B, irrelevantReason=_S, isDuplicate=_B, duplicateOf=_S, reusability=_I, codeImprovement=_I,
+    implementationEffort=_I, trafficLight=_S, category=_S, isNewCategory=_B, categoryReason=_S, canImplementInCurrentDsl=_B, dslRule=_S, targetHintFile=_S, languageChangeNeeded=_S,
+    dslRuleAfterChange=_S, summary=_S, dslValidationResult=_S, beforeExample=_S, afterExample=_S, negativeExample=_S, sourceVersion=_S,
 )
 MATCH_ENTRY = _table(repo=_S, hint_file=_S, rule_name=_S, file_path=_S, line=_I, matched_code=_S, suggested_replacement=_S)
 MATCH_SCORE = _table(trivial_change=_I, null_status=_S, severity=_S, reason=_S, evidence=_LIST)

@@ -121,3 +121,23 @@ def test_declarations():
     two = at("b(this.xs)", x="this.xs")
     assert two["return_type"] == "" and two["element_kinds"] == {"$x": "FIELD"} and "CONSTRUCTOR_DECLARATION" in two["ancestors"]
     assert Context("").around(0, 0, {})[0] == "" and Context("class").types == [] and Context("class A { void m( {").types[0].name == "A"
+
+
+def test_scored_markdown_and_state(spark, tmp_path):
+    from gritmill.operators import mining_state as st
+    from gritmill.queries.state import _scored
+    from gritmill.sources import reports
+
+    rows = _scored(spark, "/root/testdata/sf0.001").where("line < 12")
+    page = reports.scored_markdown(rows, "2024-01-01").split("\n")
+    assert page[0] == "# Refactoring Mining Report — 2024-01-01" and page[2] == "## Summary"
+    sizes = {r["line"]: r["score"]["trivial_change"] for r in rows.collect()}
+    warnings = page[page.index(next(x for x in page if x.startswith("## ⚠️"))) :]
+    listed = [int(x.split("`")[1].split(":")[1]) for x in warnings[: warnings.index("", 4)] if x.startswith("- `")]
+    assert listed and [sizes[i] for i in listed] == sorted((sizes[i] for i in listed), reverse=True)
+    path = str(tmp_path / "state")
+    for n in (1, 2, 3):
+        st.save_state(spark.createDataFrame([("repo", n)], "repo string, epoch int"), path)
+        assert [r["epoch"] for r in st.load_state(spark, path, "repo string, epoch int").collect()] == [n]
+    assert st.allowed(rows, None) is rows
+    assert {x: st.verify(x, "f(1)", "g(1)", "h(1)") for x in ("f($x)\n=> g($x)\n;;", "f($x)\n=> g($x)", "")} == {"f($x)\n=> g($x)\n;;": None, "f($x)\n=> g($x)": "DSL_VALIDATION", "": "SCHEMA"}
