@@ -3,8 +3,8 @@
 Unit vectors are rotated to principal dimensions; the leading ones are cut into cells as wide as the Euclidean distance
 that the cosine threshold stands for. Vectors are sorted by label and cells, and cut into blocks of neighbours. Pairs of
 blocks whose boxes lie within that distance are joined by recursion: an interval pair that is provably distant is
-skipped, a small one is compared exactly in double precision, any other is halved. Equal vectors are one entry with a
-count, pairs never leave a task: it sends the links of each vector as a number, and a spanning forest for the components.
+skipped, a small one is compared exactly in double precision, any other is halved. Pairs of blocks go to tasks by tiles, so
+that few copies of a block are sent. Equal vectors are one entry with a count, pairs never leave a task: it sends the links of each vector as a number, and a spanning forest for the components.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from gritmill.llm.common import Scratch
 from gritmill.llm.components import connected_components
 
 BLOCK, LEAF, DIMS, SAMPLE = 1024, 128, 8, 4096
+#: Neighbouring blocks of a tile's side: 2 * GROUP * BLOCK vectors are in a task's memory at once.
+GROUP = 8
 _SLACK = 1e-6
 
 
@@ -145,19 +147,24 @@ def _join(bases: dict[int, np.ndarray], threshold: float):
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
-                x, y = r["x"], r["y"]
-                base = bases.get(x["dim"])
-                a = _Side(x["ids"], x["counts"], x["vecs"], x["dim"], base)
-                same = x["bid"] == y["bid"]
-                c = a if same else _Side(y["ids"], y["counts"], y["vecs"], y["dim"], base)
-                la, lb, forest = join_blocks(a, c, same, threshold)
-                sides = [(a.ids, la)] if same else [(a.ids, la), (c.ids, lb)]
-                for ids, links in sides:
-                    k = np.flatnonzero(links)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[k]), pa.array(links[k]), pa.nulls(len(k), pa.int64())], schema=schema)
-                if forest:
-                    u, v = zip(*forest, strict=True)
+            for k in range(b.num_rows):  # a row at a time: each holds the blocks of two groups
+                tile = b.slice(k, 1).to_pylist()[0]
+                sides = {}
+                for x in tile["blocks"]:
+                    sides[x["bid"]] = _Side(x["ids"], x["counts"], x["vecs"], x["dim"], bases.get(x["dim"]))
+                links: dict[int, np.ndarray] = {}
+                ties: list[tuple[int, int]] = []
+                for p, q in sorted((x["p"], x["q"]) for x in tile["pairs"]):
+                    la, lb, forest = join_blocks(sides[p], sides[q], p == q, threshold)
+                    links[p] = links.get(p, 0) + la
+                    if p != q:
+                        links[q] = links.get(q, 0) + lb
+                    ties += forest
+                for bid, n in links.items():
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(sides[bid].ids[at]), pa.array(n[at]), pa.nulls(len(at), pa.int64())], schema=schema)
+                if ties:
+                    u, v = zip(*ties, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([0] * len(u), pa.int64()), pa.array(v, pa.int64())], schema=schema)
 
     return run
@@ -192,10 +199,13 @@ def ego_join(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, id_c
     two = meta.select("label", "dim", F.col("bid").alias("q"), F.col("low").alias("l2"), F.col("high").alias("h2"), F.explode(F.sequence("lo", "hi")).alias("c"))
     gap = F.aggregate(F.arrays_zip("l1", "h1", "l2", "h2"), F.lit(0.0), lambda s, x: s + F.pow(F.greatest(F.lit(0.0), x["l1"] - x["h2"], x["l2"] - x["h1"]), F.lit(2.0)))
     pairs = one.join(two, ["label", "dim", "c"]).where((F.col("p") <= F.col("q")) & (gap <= 2 - 2 * threshold + _SLACK)).select("p", "q").distinct()
+    # pairs are joined by tiles of two groups of neighbouring blocks, so a block is sent once a tile and not once a pair
     load = ["bid", "dim", "ids", "counts", "vecs"]
-    x = blocks.select(F.col("bid").alias("p"), F.struct(*load).alias("x"))
-    y = blocks.select(F.col("bid").alias("q"), F.struct(*load).alias("y"))
-    out = scratch.save(pairs.join(x, "p").join(y, "q").select("x", "y").mapInArrow(_join(bases, threshold), "id long, links long, to long"), "links")
+    tiles = scratch.save(pairs.withColumn("gp", F.floor(F.col("p") / GROUP).cast("long")).withColumn("gq", F.floor(F.col("q") / GROUP).cast("long")), "pairs")
+    needed = tiles.select("gp", "gq", F.explode(F.array("p", "q")).alias("bid")).distinct()
+    sent = blocks.select(*load).join(needed, "bid").groupBy("gp", "gq").agg(F.collect_list(F.struct(*load)).alias("blocks"))  # at most 2 * GROUP blocks a tile
+    listed = tiles.groupBy("gp", "gq").agg(F.collect_list(F.struct("p", "q")).alias("pairs"))  # at most GROUP^2
+    out = scratch.save(sent.join(listed, ["gp", "gq"]).select("blocks", "pairs").mapInArrow(_join(bases, threshold), "id long, links long, to long"), "links")
     counts = out.where("to is null").groupBy("id").agg(F.sum("links").alias("links"))
     found = connected_components(out.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")), scratch)
     member = scratch.save(classes.select("id", "first").join(found, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("component", "id").alias("group")), "members")
