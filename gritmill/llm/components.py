@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014), on DataFrames alone.
 
-Each step is one aggregation (with map-side combine) and one join that Spark may split where a node has very many
-neighbours. Each round is written to the shared folder, so lineage stays short; nothing goes to the driver but two numbers.
+Each step is one aggregation (with map-side combine) and one join of two written tables, which Spark may split where a node
+has very many neighbours. Each round is written to the shared folder, so lineage stays short; nothing goes to the driver but two numbers.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 from gritmill.llm.common import Scratch
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """One large-star and one small-star step over distinct edges (a > b)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    # an aggregate right below a join would fix how its rows are dealt; written, both sides are dealt anew
+    low = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
+    large = scratch.save(both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+    least = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")), "least")
     small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
     return small.select("x.a", F.col("x.m").alias("b")).where("a <> b").distinct()
 
@@ -30,7 +31,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(edges, "cc")
     mark = None
     while True:
-        after = scratch.save(_stars(now), "cc")
+        after = scratch.save(_stars(now, scratch), "cc")
         told = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h"), F.sum(F.xxhash64("b", "a") % 999_983).alias("k")).collect()[0]
         scratch.drop(now)
         now = after
