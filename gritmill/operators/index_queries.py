@@ -120,6 +120,25 @@ def ratio_of_tests(df: DataFrame, package: str, is_test: Column) -> DataFrame:
 # joins
 
 
+def scan(df: DataFrame, where: str | Column, *columns: str) -> DataFrame:
+    """Rows that match, in the wanted columns alone; both reach the scan."""
+    return df.where(where).select(*columns)
+
+
+def count_where(df: DataFrame, where: str | Column) -> DataFrame:
+    return df.where(where).agg(F.count("*").alias("n"))
+
+
+def packs(df: DataFrame, where: str | Column, pack: str, extension: str) -> DataFrame:
+    """Packs with their sorted distinct extensions."""
+    return df.where(where).groupBy(pack).agg(F.sort_array(F.collect_set(extension)).alias("extensions"))
+
+
+def first_row(df: DataFrame, where: str | Column, order: str, *columns: str) -> DataFrame:
+    """The first matching row by order: one pack file's data."""
+    return df.where(where).orderBy(order).limit(1).select(*columns)
+
+
 def prefix(c: str, start: str) -> Column:
     """Whether a value begins with this text; no sign in it is a wildcard."""
     return F.startswith(F.col(c), F.lit(start))
@@ -151,8 +170,10 @@ def api_diff(a: DataFrame, b: DataFrame, key: str, order: str, compared: dict[st
     return both.select(F.col("k").alias(key), change.alias("change"), detail.alias("detail"), *(f"a_{c}" for c in compared), *(f"b_{c}" for c in compared)).where("change is not null")
 
 
-def public_only(diff: DataFrame, visibility: str) -> DataFrame:
-    return diff.where(F.coalesce(F.contains(F.col(f"a_{visibility}"), F.lit("public")), F.lit(False)) | F.coalesce(F.contains(F.col(f"b_{visibility}"), F.lit("public")), F.lit(False)))
+def public_only(diff: DataFrame, visibility: str, word: str = "public") -> DataFrame:
+    """Changes of what was or is public: a side whose visibility holds the word."""
+    held = lambda side: F.coalesce(F.contains(F.col(f"{side}_{visibility}"), F.lit(word)), F.lit(False))
+    return diff.where(held("a") | held("b"))
 
 
 def dead_code(df: DataFrame, key: str, names: str, imports: str) -> DataFrame:

@@ -279,19 +279,43 @@ def _starts(pattern: list[str], tokens: list[str], places: dict[str, list[int]],
     return sorted(out)
 
 
-def plan(rules: list[Rule], token: re.Pattern = TOKEN) -> list[tuple[int, str, str, list[str]]]:
-    """(number, name, kind, pattern's tokens) of each rule."""
-    return [(i, r.name, r.kind, [m.group() for m in token.finditer(r.pattern.rstrip(";") if r.kind in ("METHOD_CALL", "EXPRESSION") else r.pattern)]) for i, r in enumerate(rules)]
+Plan = tuple[int, str, str, list[str], str]
 
 
-def find(text: str, plans: list[tuple[int, str, str, list[str]]], fold: bool = False):
+def plan(rules: list[Rule], token: re.Pattern = TOKEN) -> list[Plan]:
+    """(number, name, kind, pattern's tokens, type) of each rule; once more with a simple name where a pattern qualifies a type.
+
+    The type is the one that such a source must import, by name or by its package's star, or have beside it.
+    """
+    out: list[Plan] = []
+    for i, r in enumerate(rules):
+        pattern = [m.group() for m in token.finditer(r.pattern.rstrip(";") if r.kind in ("METHOD_CALL", "EXPRESSION") else r.pattern)]
+        out.append((i, r.name, r.kind, pattern, ""))
+        at = 1 if pattern[:1] == ["new"] else 0
+        end = at
+        while end + 2 < len(pattern) and re.fullmatch(r"[a-z]\w*", pattern[end]) and pattern[end + 1] == ".":
+            end += 2
+        if end > at and re.fullmatch(r"[A-Z]\w*", pattern[end]):
+            out.append((i, r.name, r.kind, pattern[:at] + pattern[end:], "".join(pattern[at : end + 1])))
+    return out
+
+
+def sees_type(text: str, name: str) -> bool:
+    """Whether a source may call a type by its simple name: imported alone or with its package, or of its own package."""
+    package = re.escape(name.rpartition(".")[0])
+    return bool(re.search(rf"(?m)^\s*(?:import\s+(?:{re.escape(name)}|{package}\.\*)|package\s+{package})\s*;", text))
+
+
+def find(text: str, plans: list[Plan], fold: bool = False):
     """(rule, name, kind, start, end, bindings) of all matches in one text."""
     lexed = lex(text)
     tokens = [t for t, _, _ in lexed]
     places: dict[str, list[int]] = {}
     for i, t in enumerate(tokens):
         places.setdefault(t, []).append(i)
-    for i, name, kind, pattern in plans:
+    for i, name, kind, pattern, simple in plans:
+        if simple and not sees_type(text, simple):
+            continue
         anchor = next((k for k, t in enumerate(pattern) if not t.startswith("$")), None)
         starts = _starts(pattern, tokens, places, anchor) if not fold else range(len(tokens))
         last = -1
@@ -333,7 +357,7 @@ def matches(df: DataFrame, source: str, rules: list[Rule], keep: tuple[str, ...]
             yield pd.DataFrame(rows, columns=columns)
 
     rows = df.select(*keep, F.col(source).alias("_source"))
-    wanted = [[t for t in pattern if not t.startswith("$")] for _, _, _, pattern in plans]
+    wanted = [[t for t in pattern if not t.startswith("$")] for _, _, _, pattern, _ in plans]
     if all(wanted) and not fold:  # a text without all words of any rule has no match
         hit = [reduce(lambda a, b: a & b, (F.contains("_source", F.lit(t)) for t in dict.fromkeys(words))) for words in wanted]
         rows = rows.where(reduce(lambda a, b: a | b, hit))

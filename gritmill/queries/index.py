@@ -57,22 +57,22 @@ def total_size_empty(spark, d):
 
 @register("approx_count", "SELECT count(*) AS n FROM documents WHERE source = 'src0'")
 def approx_count(spark, d):
-    return tables(spark, d, "documents").where("source = 'src0'").agg(F.count("*").alias("n"))
+    return q.count_where(tables(spark, d, "documents"), "source = 'src0'")
 
 
 @register("scan_objects", "SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src1'")
 def scan_objects(spark, d):
-    return tables(spark, d, "documents").where("source = 'src1'").select("doc_id", "lang", "n_chars")
+    return q.scan(tables(spark, d, "documents"), "source = 'src1'", "doc_id", "lang", "n_chars")
 
 
 @register("scan_packs", "SELECT l_orderkey, list_sort(list(DISTINCT l_linestatus)) AS extensions FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_orderkey")
 def scan_packs(spark, d):
-    return tables(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_linestatus")).alias("extensions"))
+    return q.packs(tables(spark, d, "lineitem"), "l_returnflag = 'A'", "l_orderkey", "l_linestatus")
 
 
 @register("pack_read", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7 AND l_linenumber = 1 ORDER BY l_partkey LIMIT 1")
 def pack_read(spark, d):
-    return tables(spark, d, "lineitem").where("l_orderkey = 7 and l_linenumber = 1").orderBy("l_partkey").limit(1).select("l_orderkey", "l_linenumber", "l_quantity")
+    return q.first_row(tables(spark, d, "lineitem"), "l_orderkey = 7 and l_linenumber = 1", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
 @register("import_frequency", f"SELECT count(*) AS n FROM documents WHERE len(list_filter({WORDS}, lambda x: starts_with(x, 'tion'))) > 0")
@@ -105,11 +105,6 @@ def migration_candidates(spark, d):
     return q.migration_candidates(tables(spark, d, "documents").withColumn("w", words()), ["tion", "erth", "zzz"], "w", "doc_id")
 
 
-@register("commits_between", "SELECT event_id, ts FROM events WHERE event_id BETWEEN 100 AND 200")
-def commits_between(spark, d):
-    return q.between(tables(spark, d, "events"), "event_id", 100, 200).select("event_id", "ts")
-
-
 @register("commits_between_times", "SELECT event_id FROM events WHERE ts BETWEEN (SELECT min(ts) FROM events) AND (SELECT min(ts) FROM events) + INTERVAL 6 HOUR")
 def commits_between_times(spark, d):
     e = tables(spark, d, "events")
@@ -187,13 +182,15 @@ def api_diff(spark, d):
 
 @register("public_api_diff", f"SELECT o_custkey, change FROM ({_DIFF}) WHERE coalesce(a_o_orderpriority LIKE '%URGENT%', false) OR coalesce(b_o_orderpriority LIKE '%URGENT%', false)")
 def public_api_diff(spark, d):
-    urgent = lambda c: F.coalesce(F.contains(F.col(c), F.lit("URGENT")), F.lit(False))
-    return _diff(spark, d).where(urgent("a_o_orderpriority") | urgent("b_o_orderpriority")).select("o_custkey", "change")
+    return q.public_only(_diff(spark, d), "o_orderpriority", "URGENT").select("o_custkey", "change")
 
 
 @register("dead_code", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
 def dead_code(spark, d):
-    return tables(spark, d, "part").select("p_partkey").join(tables(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    none = F.array().cast("array<string>")
+    declared = tables(spark, d, "part").select("p_partkey", F.array(F.col("p_partkey").cast("string")).alias("names"), none.alias("imports"))
+    used = tables(spark, d, "lineitem").where("l_quantity > 40").select(F.lit(None).cast("long").alias("p_partkey"), none.alias("names"), F.array(F.col("l_partkey").cast("string")).alias("imports"))
+    return q.dead_code(declared.unionByName(used), "p_partkey", "names", "imports")
 
 
 _NAMES = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"

@@ -157,6 +157,15 @@ def variadic(spark, d):
     return found.select("p_partkey", b["$a"][0].alias("a"), b["$rest$"].alias("rest"), b["$z"][0].alias("z"))
 
 
+@register("rule_fqn", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'java.nio.file.Paths.get(a)' ELSE 'Paths.get(a)' END AS matched, 'Path.of(a)' AS replacement FROM part WHERE p_size % 5 < 4")
+def rule_fqn(spark, d):
+    """A qualified pattern, against sources that name the type in full, import it, import its package, lie in it, or know another one."""
+    kinds = ("class A { Path p = java.nio.file.Paths.get(a); }", "import java.nio.file.Paths;\nclass A { Path p = Paths.get(a); }", "import java.nio.file.*;\nclass A { Path p = Paths.get(a); }", "package java.nio.file;\nclass A { Path p = Paths.get(a); }", "import other.Paths;\nclass A { Path p = Paths.get(a); }")
+    p = tables(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, kinds)), (F.col("p_size") % 5 + 1).cast("int")).alias("text"))
+    rules = r.parse_rules("@id: paths\njava.nio.file.Paths.get($x)\n=> Path.of($x)\n;;\n")
+    return r.report(r.matches(p, "text", rules, ("p_partkey",)), rules).select("p_partkey", "matched", "replacement")
+
+
 #: Guards about a match's surroundings, one a rule, and when each holds for the units of `surroundings`.
 SURROUNDINGS = {
     "loop": ("isInLoop()", "p_partkey % 3 <> 2"),
