@@ -46,6 +46,26 @@ def multiset_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*cols).agg(F.sum("_n").alias("_n")).agg(F.coalesce(F.bool_and(F.col("_n") == 0), F.lit(True)).alias("equal"))
 
 
+def compare_leaves(before: DataFrame, after: DataFrame, tree: str, place: str, entry: str, ordered: bool) -> DataFrame:
+    """Per tree: whether its leaves are equal, and the first difference (`at`, entries or counts before and after).
+
+    Ordered leaves meet by place, which counts from 0; the first place that differs, or that one side lacks. Else each
+    entry's occurrences are counted; the smallest entry whose counts differ. A null entry is equal to a null.
+    """
+    if ordered:
+        a = before.select(tree, F.col(place).alias("at"), F.col(entry).alias("x"), F.lit(True).alias("in_a"))
+        b = after.select(tree, F.col(place).alias("at"), F.col(entry).alias("y"), F.lit(True).alias("in_b"))
+        both = a.join(b, [tree, "at"], "full")
+        same = F.col("in_a").isNotNull() & F.col("in_b").isNotNull() & F.col("x").eqNullSafe(F.col("y"))
+        told = F.struct(F.col("at").cast("string").alias("at"), F.col("x").cast("string").alias("before"), F.col("y").cast("string").alias("after"))
+        return both.groupBy(tree).agg(F.bool_and(same).alias("equal"), F.min_by(told, F.when(~same, F.col("at"))).alias("d")).select(tree, "equal", F.when(~F.col("equal"), F.col("d")).alias("difference"))
+    counted = before.select(tree, F.col(entry).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(after.select(tree, F.col(entry).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    each = counted.groupBy(tree, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    other = F.col("a") != F.col("b")
+    told = F.struct(F.col("x").cast("string").alias("at"), F.col("a").cast("string").alias("before"), F.col("b").cast("string").alias("after"))
+    return each.groupBy(tree).agg((~F.bool_or(other)).alias("equal"), F.min(F.when(other, told)).alias("difference"))
+
+
 def naming_conflicts(df: DataFrame, name: str, kind: str) -> DataFrame:
     """Names bound to more than one type; null counts as the type unknown."""
     return df.groupBy(name).agg(F.sort_array(F.collect_set(F.coalesce(kind, F.lit("unknown")))).alias("types")).where(F.size("types") > 1)

@@ -364,12 +364,17 @@ def matches(df: DataFrame, source: str, rules: list[Rule], keep: tuple[str, ...]
     return rows.mapInPandas(run, schema)
 
 
-def report(found: DataFrame, rules: list[Rule], required: bool = False) -> DataFrame:
+def report(found: DataFrame, rules: list[Rule], required: bool = False, suppress: str | None = None) -> DataFrame:
     """Adds outcome (match, unknown), and the replacement of the first alternative whose condition holds; rows that a guard rejects go.
 
     Guards read columns of `found`; those that it has not are null, so that guards about them are unknown or don't hold.
-    With required bindings an unknown guard keeps the row, without a replacement.
+    `suppress` names the column whose value silences a match where an enclosing declaration's SuppressWarnings holds it
+    (such as rule_name); `found` then needs its context. With required bindings an unknown guard keeps the row, without a replacement.
     """
+    if suppress:
+        if "suppressed" not in found.columns:
+            raise ValueError("matches without context don't tell what is suppressed")
+        found = found.where(~F.coalesce(F.array_contains("suppressed", F.col(suppress)), F.lit(False)))
     found = found.withColumns({k: F.lit(None).cast(v) for k, v in (FOUND | GIVEN).items() if k not in found.columns})
     outcome: Column | None = None
     chosen: Column | None = None

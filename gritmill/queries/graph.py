@@ -93,6 +93,30 @@ def tree_leaves(spark, d):
 _ARRAY = "p_size % 2 = 1 AND p_size % 5 <> 0"
 
 
+_TURNS = "SELECT conv_id, turn AS place, role AS entry FROM conversations"
+_MOVED = "SELECT conv_id, CASE WHEN conv_id % 3 = 1 THEN last - turn + first ELSE turn END AS place, CASE WHEN conv_id % 3 = 2 AND turn = last THEN 'x' ELSE role END AS entry FROM (SELECT *, max(turn) OVER w AS last, min(turn) OVER w AS first FROM conversations WINDOW w AS (PARTITION BY conv_id))"
+
+
+def _turns(spark, d):
+    from pyspark.sql import Window
+
+    c, w = tables(spark, d, "conversations"), Window.partitionBy("conv_id")
+    moved = c.withColumn("last", F.max("turn").over(w)).withColumn("first", F.min("turn").over(w))
+    place = F.when(F.col("conv_id") % 3 == 1, F.col("last") - F.col("turn") + F.col("first")).otherwise(F.col("turn"))
+    entry = F.when((F.col("conv_id") % 3 == 2) & (F.col("turn") == F.col("last")), "x").otherwise(F.col("role"))
+    return c.select("conv_id", F.col("turn").alias("place"), F.col("role").alias("entry")), moved.select("conv_id", place.alias("place"), entry.alias("entry"))
+
+
+@register("leaves_in_order", f"SELECT conv_id, bool_and(a.entry IS NOT DISTINCT FROM b.entry) AS equal, min(CASE WHEN a.entry IS DISTINCT FROM b.entry THEN place END)::VARCHAR AS at FROM ({_TURNS}) a FULL JOIN ({_MOVED}) b USING (conv_id, place) GROUP BY conv_id")
+def leaves_in_order(spark, d):
+    return g.compare_leaves(*_turns(spark, d), "conv_id", "place", "entry", True).select("conv_id", "equal", F.col("difference.at").alias("at"))
+
+
+@register("leaf_multiset", f"SELECT conv_id, bool_and(a = b) AS equal, min(CASE WHEN a <> b THEN entry END) AS at FROM (SELECT conv_id, entry, sum(a) AS a, sum(b) AS b FROM (SELECT conv_id, entry, 1 AS a, 0 AS b FROM ({_TURNS}) UNION ALL SELECT conv_id, entry, 0, 1 FROM ({_MOVED})) GROUP BY conv_id, entry) GROUP BY conv_id")
+def leaf_multiset(spark, d):
+    return g.compare_leaves(*_turns(spark, d), "conv_id", "place", "entry", False).select("conv_id", "equal", F.col("difference.at").alias("at"))
+
+
 @register("container_contract", f"""SELECT p_partkey, CASE WHEN {_ARRAY} THEN 'semantic.array.append.sequence' WHEN u THEN 'semantic.sequence.unique.set' END AS rule,
 CASE WHEN {_ARRAY} THEN CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 THEN 'HIGH' ELSE 'MEDIUM' END WHEN u THEN 'HIGH' END AS confidence,
 CASE WHEN {_ARRAY} THEN CASE WHEN p_partkey % 2 = 0 THEN 'NONE' ELSE 'POSITIONAL' END WHEN u THEN 'ENCOUNTER' END AS ord,

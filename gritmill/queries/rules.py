@@ -166,6 +166,14 @@ def rule_fqn(spark, d):
     return r.report(r.matches(p, "text", rules, ("p_partkey",)), rules).select("p_partkey", "matched", "replacement")
 
 
+@register("rule_suppressed", "SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0")
+def rule_suppressed(spark, d):
+    """Matches of a rule, without those in methods that suppress it."""
+    rules = r.parse_rules("@id: unused\nuse($f, $p, $l)\n;;\n")
+    found = r.matches(surroundings(spark, d), "text", rules, ("p_partkey",), context=True)
+    return r.report(found, rules, suppress="rule_name").select("p_partkey")
+
+
 #: Guards about a match's surroundings, one a rule, and when each holds for the units of `surroundings`.
 SURROUNDINGS = {
     "loop": ("isInLoop()", "p_partkey % 3 <> 2"),
