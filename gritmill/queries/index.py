@@ -25,14 +25,14 @@ def author_type_stats(spark, d):
     return q.counts(tables(spark, d, "documents"), "source", "lang")
 
 
-@register("complexity_trend", "SELECT o_orderdate, round(avg(o_totalprice), 4) AS average FROM orders GROUP BY o_orderdate")
+@register("complexity_trend", "SELECT o_orderdate, round(avg(o_totalprice), 6) AS average FROM orders GROUP BY o_orderdate")
 def complexity_trend(spark, d):
-    return q.trend(tables(spark, d, "orders"), "o_orderdate", "o_totalprice").withColumn("average", F.round("average", 4))
+    return q.trend(tables(spark, d, "orders"), "o_orderdate", "o_totalprice").withColumn("average", F.round("average", 6))
 
 
-@register("complexity_trend_prefix", "SELECT l_shipdate, round(avg(l_quantity), 4) AS average FROM lineitem WHERE l_returnflag LIKE 'R%' GROUP BY l_shipdate")
+@register("complexity_trend_prefix", "SELECT l_shipdate, round(avg(l_quantity), 6) AS average FROM lineitem WHERE l_returnflag LIKE 'R%' GROUP BY l_shipdate")
 def complexity_trend_prefix(spark, d):
-    return q.trend(tables(spark, d, "lineitem").where(F.col("l_returnflag").startswith("R")), "l_shipdate", "l_quantity").withColumn("average", F.round("average", 4))
+    return q.trend(tables(spark, d, "lineitem").where(F.col("l_returnflag").startswith("R")), "l_shipdate", "l_quantity").withColumn("average", F.round("average", 6))
 
 
 @register("count_by_type", "SELECT count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem")
