@@ -244,14 +244,14 @@ def ast_nodes(spark, d):
     return nodes(sources(spark, d), "p_partkey", "text")
 
 
-@register("ast_calls_outside_main")
+@register("ast_calls_outside_main", "SELECT p_partkey, 'size' AS name, 7 AS line FROM part")
 def ast_calls_outside_main(spark, d):
     from gritmill.plans.nodes import NodeQuery, named, nodes
 
     return NodeQuery(nodes(sources(spark, d), "p_partkey", "text"), "p_partkey").on("METHOD_CALL").not_inside("METHOD_DECLARATION", when=named("main")).df.select("p_partkey", "name", "line")
 
 
-@register("ast_methods_with_call")
+@register("ast_methods_with_call", "SELECT p_partkey, 'main' AS name, 8 AS line FROM part")
 def ast_methods_with_call(spark, d):
     from gritmill.plans.nodes import NodeQuery, named, nodes
 
