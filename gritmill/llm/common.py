@@ -51,6 +51,15 @@ class Scratch:
                     return
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """Marks a side of a join whose rows grow with the input, so that the join sorts and merges.
+
+    Left alone, Spark broadcasts what its files' bytes make look small, through the driver's memory, though an explode or
+    good compression may hide many times the rows.
+    """
+    return df.hint("merge")
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of frames that are out of use."""
     gc.collect()

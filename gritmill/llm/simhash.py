@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from gritmill.llm.common import Scratch, text_bytes
+from gritmill.llm.common import Scratch, sorted_join, text_bytes
 from gritmill.llm.components import connected_components
 from gritmill.llm.tokens import release
 
@@ -98,7 +98,7 @@ def links(fps: DataFrame) -> DataFrame:
     right = fps.select(F.col("fp").alias("g"), F.col("id").alias("b"), F.explode(_keys(1)).alias("key"))
     wild = F.shiftrightunsigned("key", 55) >= 6
     near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).between(1, 2)
-    return left.join(right, "key").where(near & (wild | (F.col("f") < F.col("g")))).select("a", "b")
+    return left.join(sorted_join(right), "key").where(near & (wild | (F.col("f") < F.col("g")))).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,8 +111,8 @@ def simhash_groups(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     rows = scratch.save(fingerprints(docs, id_col, text_col), "fp")
     fps = scratch.save(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "fps")
     found = connected_components(links(fps), scratch)
-    of = fps.join(found, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "id").alias("component_id"))
-    joined = rows.join(of, F.col("fp") == F.col("of_fp"), "left")
+    of = fps.join(sorted_join(found), F.col("id") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "id").alias("component_id"))
+    joined = rows.join(sorted_join(of), F.col("fp") == F.col("of_fp"), "left")
     return joined.select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),

@@ -586,3 +586,25 @@ def test_pipeline_near_copies_of_odd_rows(spark, odd):
     near = spark.createDataFrame([(None, _LONG + " more"), (None, _LONG), (None, "alone"), (None, "alone")], "doc_id long, text string")
     groups = {c for _, c in brute.simhash(enumerate([_LONG + " more", _LONG, "alone"])).values()}
     assert len(kept(near)) == len(groups) and kept(near) == kept(near.repartition(3))
+
+
+class Planned(Scratch):
+    """A scratch folder that keeps the plan of each table it writes."""
+
+    plans: list[str] = []
+
+    def save(self, df, name="t"):
+        self.plans.append(plan_of(df))
+        return super().save(df, name)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_simhash_broadcasts_nothing(spark, table):
+    fps = spark.createDataFrame([(1, 1), (3, 2), (1 << 40, 3)], "fp long, id long")
+    assert "Broadcast" not in plan_of(simhash.links(fps))
+    Planned.plans = []
+    out = simhash.simhash_groups(table, Planned(spark, "t"))
+    assert sum("SortMergeJoin" in p for p in Planned.plans) >= 4 and not any("Broadcast" in p for p in [*Planned.plans, plan_of(out)])
