@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gritmill.llm import mixing, packing, pii, quality, simhash
-from gritmill.llm.common import Scratch
+from gritmill.llm.common import Scratch, sorted_join
 from gritmill.llm.queries import tokenizer
 
 
@@ -29,9 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = simhash.simhash_groups(rows, Scratch(spark, "pipeline"), id_col="near_t").select(F.col("doc_id").alias("near_t"), "component_id").distinct()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "near_t", "near_r")
     least = rows.groupBy("near_t").agg(F.min(order).alias("o"))
-    first = least.join(groups, "near_t").groupBy("component_id").agg(F.min("o").alias("o")).select("o.near_t", "o.near_r")
+    first = least.join(sorted_join(groups), "near_t").groupBy("component_id").agg(F.min("o").alias("o")).select("o.near_t", "o.near_r")
     # of rows equal in all columns one stays
-    return rows.join(first, ["near_t", "near_r"], "left_semi").dropDuplicates(["near_t", "near_r"]).select(*docs.columns)
+    return rows.join(sorted_join(first), ["near_t", "near_r"], "left_semi").dropDuplicates(["near_t", "near_r"]).select(*docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

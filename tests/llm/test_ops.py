@@ -608,3 +608,12 @@ def test_simhash_broadcasts_nothing(spark, table):
     Planned.plans = []
     out = simhash.simhash_groups(table, Planned(spark, "t"))
     assert sum("SortMergeJoin" in p for p in Planned.plans) >= 4 and not any("Broadcast" in p for p in [*Planned.plans, plan_of(out)])
+
+
+def test_pipeline_broadcasts_no_rows(spark, table, monkeypatch):
+    import corpus_pipeline
+
+    Planned.plans = []
+    monkeypatch.setattr(corpus_pipeline, "Scratch", Planned)
+    near = plan_of(corpus_pipeline.drop_near_copies(spark, table, ""))
+    assert near.count("SortMergeJoin") >= 2 and not any("Broadcast" in p for p in [*Planned.plans, near])
