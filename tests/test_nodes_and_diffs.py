@@ -141,3 +141,18 @@ def test_scored_markdown_and_state(spark, tmp_path):
         assert [r["epoch"] for r in st.load_state(spark, path, "repo string, epoch int").collect()] == [n]
     assert st.allowed(rows, None) is rows
     assert {x: st.verify(x, "f(1)", "g(1)", "h(1)") for x in ("f($x)\n=> g($x)\n;;", "f($x)\n=> g($x)", "")} == {"f($x)\n=> g($x)\n;;": None, "f($x)\n=> g($x)": "DSL_VALIDATION", "": "SCHEMA"}
+
+
+def test_matches_share_work_of_equal_patterns(spark, monkeypatch):
+    from gritmill.plans import rules as r
+
+    rules = r.parse_rules("".join(f"@id: r{i}\nuse($a, $b)\n;;\n" for i in range(20)) + "@id: other\ncall($a)\n;;\n")
+    tried, one = [], r.match_at
+    monkeypatch.setattr(r, "match_at", lambda pattern, *rest: (tried.append(pattern), one(pattern, *rest))[1])
+    assert len(list(r.find("void f() { use(x, y); call(z); use(p, q); }", r.plan(rules)))) == 41
+    assert len(tried) == 3
+    # one file of sources is dealt out, as it would be one task
+    texts = spark.range(0, 40, 1, 1).selectExpr("id", "if(id % 2 = 0, concat('class A { void f() { use(x', id, ', y); } }'), null) AS t")
+    found = r.matches(texts, "t", rules, ("id",), context=True)
+    assert found.rdd.getNumPartitions() > 1
+    assert {(x["id"], x["rule"], x["rule_name"], x["kind"], x["bindings"]["$a"][0], x["method_text"]) for x in found.collect()} == {(k, i, f"r{i}", "METHOD_CALL", f"x{k}", f"void f() {{ use(x{k}, y); }}") for k in range(0, 40, 2) for i in range(20)}
