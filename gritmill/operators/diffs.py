@@ -22,24 +22,29 @@ def commit_diffs(parent: DataFrame, commit: DataFrame, prefix: str = "", max_fil
     """(commit, diff) from files (commit, path, text) of parents and commits: changed files under the prefix, by path.
 
     A removed and an added file with the same text is a rename. Commits with more changed files give an empty diff. Equal
-    files fall out in the join, so only changed texts reach Python.
+    files fall out in the join, so only changed texts reach Python, and none of a commit with more files than are told.
+    Joins sort and merge: texts made by expressions look small to Spark, which would broadcast them through the driver.
     """
     a = parent.select("commit", "path", F.col("text").alias("before"))
     b = commit.select("commit", "path", F.col("text").alias("after"))
-    both = a.join(b, ["commit", "path"], "full").where(~F.col("before").eqNullSafe(F.col("after")) & F.startswith(F.col("path"), F.lit(prefix)))
+    both = a.join(b.hint("merge"), ["commit", "path"], "full").where(~F.col("before").eqNullSafe(F.col("after")) & F.startswith(F.col("path"), F.lit(prefix)))
     gone = both.where("after is null").select("commit", F.col("path").alias("old_path"), F.xxhash64("before").alias("h"), F.col("before").alias("moved"))
     come = both.where("before is null").select("commit", "path", F.xxhash64("after").alias("h"), "after")
-    renames = come.join(gone, ["commit", "h"]).where("after = moved").groupBy("commit", "path").agg(F.min("old_path").alias("old_path"))
+    renames = come.join(gone.hint("merge"), ["commit", "h"]).where("after = moved").groupBy("commit", "path").agg(F.min("old_path").alias("old_path"))
 
     @F.pandas_udf("string")
     def diff(before: pd.Series, after: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series([unified(x if isinstance(x, str) else None, y if isinstance(y, str) else None, p) for x, y, p in zip(before, after, path, strict=True)], dtype=object)
 
-    rows = both.join(renames, ["commit", "path"], "left").join(renames.select("commit", F.col("old_path").alias("path"), F.lit(True).alias("left_behind")), ["commit", "path"], "left").where("left_behind is null")
+    left_behind = renames.select("commit", F.col("old_path").alias("path"), F.lit(True).alias("left_behind"))
+    rows = both.join(renames.hint("merge"), ["commit", "path"], "left").join(left_behind.hint("merge"), ["commit", "path"], "left").where("left_behind is null")
+    wide = rows.where("commit is not null").groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") > max_files).select("commit")
+    rows = rows.join(wide.hint("merge"), "commit", "left_anti")
     text = F.when(F.col("old_path").isNotNull(), F.concat(F.lit("rename from "), "old_path", F.lit("\nrename to "), "path")).otherwise(diff("before", "after", "path"))
     each = rows.select("commit", F.struct("path", text.alias("text")).alias("f"))
     files = each.groupBy("commit").agg(F.sort_array(F.collect_list("f")).alias("files"))
-    return files.select("commit", F.when(F.size("files") > max_files, "").otherwise(F.array_join(F.transform("files", lambda f: f["text"]), "\n")).alias("diff"))
+    told = files.select("commit", F.when(F.size("files") > max_files, "").otherwise(F.array_join(F.transform("files", lambda f: f["text"]), "\n")).alias("diff"))
+    return told.unionByName(wide.select("commit", F.lit("").alias("diff")))
 
 
 def refine(hunks: DataFrame, statements: DataFrame, side: str) -> DataFrame:

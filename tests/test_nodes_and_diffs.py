@@ -156,3 +156,14 @@ def test_matches_share_work_of_equal_patterns(spark, monkeypatch):
     found = r.matches(texts, "t", rules, ("id",), context=True)
     assert found.rdd.getNumPartitions() > 1
     assert {(x["id"], x["rule"], x["rule_name"], x["kind"], x["bindings"]["$a"][0], x["method_text"]) for x in found.collect()} == {(k, i, f"r{i}", "METHOD_CALL", f"x{k}", f"void f() {{ use(x{k}, y); }}") for k in range(0, 40, 2) for i in range(20)}
+
+
+def test_commit_diffs_of_many_files(spark):
+    rows = spark.range(60).selectExpr("if(id < 3, 'few', 'many') AS commit", "concat('f', id) AS path", "concat('old ', id) AS text")
+    out = d.commit_diffs(rows, rows.withColumn("text", F.concat(F.lit("new "), "path")))
+    got = {r["commit"]: r["diff"] for r in out.collect()}
+    assert got["many"] == "" and got["few"].count("--- a/") == 3 and len(got) == 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "LeftAnti" in plan
+    nameless = spark.range(3).selectExpr("CAST(null AS STRING) AS commit", "concat('f', id) AS path", "'x' AS text")
+    assert [r["diff"] for r in d.commit_diffs(nameless.limit(0), nameless, max_files=2).collect()] == [""]
