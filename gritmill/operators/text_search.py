@@ -120,7 +120,14 @@ def write_index(df: DataFrame, key: str, text, analyzer: str, folder: str) -> No
     each.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).coalesce(1).write.parquet(f"{folder}/stats")
 
 
-def search_index(spark: SparkSession, folder: str, query: str, analyzer: str, offset: int = 0, limit: int = 20) -> DataFrame:
+def _best(found: DataFrame, offset: int, limit: int, digits: int | None) -> DataFrame:
+    """A page of (doc_id, score), best first, doc_id as tie-break. With digits, scores equal when rounded are ties."""
+    if digits is not None:
+        found = found.withColumn("score", F.round("score", digits))
+    return found.orderBy(F.col("score").desc(), "doc_id").offset(offset).limit(limit)
+
+
+def search_index(spark: SparkSession, folder: str, query: str, analyzer: str, offset: int = 0, limit: int = 20, digits: int | None = None) -> DataFrame:
     """(doc_id, score) of an index's documents, best first: only the postings of the query's tokens are read."""
     every = spark.read.parquet(f"{folder}/postings")
     wanted = terms(every, query, analyzer)
@@ -131,7 +138,7 @@ def search_index(spark: SparkSession, folder: str, query: str, analyzer: str, of
     stats = spark.read.parquet(f"{folder}/stats")
     told = rows.join(F.broadcast(counts), "token").join(F.broadcast(stats))  # one row a token of the query, and one row
     score = _part(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("avg"))
-    return told.groupBy("doc_id").agg(F.sum(score).alias("score")).where("score > 0").orderBy(F.col("score").desc(), "doc_id").offset(offset).limit(limit)
+    return _best(told.groupBy("doc_id").agg(F.sum(score).alias("score")).where("score > 0"), offset, limit, digits)
 
 
 def _equals(q: str):
@@ -143,7 +150,7 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode("tokens").alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
 
 
-def search(df: DataFrame, key: str, fields: list[tuple[str, str, float]], query: str, where: Column | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
+def search(df: DataFrame, key: str, fields: list[tuple[str, str, float]], query: str, where: Column | None = None, offset: int = 0, limit: int = 20, digits: int | None = None) -> DataFrame:
     """(doc_id, score): BM25 over fields of (column, analyzer, boost), summed, best first, key as tie-break."""
     rows = df if where is None else df.where(where)
     if not query or not query.strip():
@@ -154,4 +161,4 @@ def search(df: DataFrame, key: str, fields: list[tuple[str, str, float]], query:
         found = one if found is None else found.unionByName(one)
     if len(fields) > 1:
         found = found.groupBy("doc_id").agg(F.sum("score").alias("score"))
-    return found.orderBy(F.col("score").desc(), "doc_id").offset(offset).limit(limit)
+    return _best(found, offset, limit, digits)

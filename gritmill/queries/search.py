@@ -69,8 +69,8 @@ def _one(name: str, table: str, key: str, column: str, analyzer: str, query: str
     @register(name, _top(_bm25_sql(table, key, _sql(analyzer, column), terms, where=where)))
     def run(spark, d):
         if where == "true":
-            return _rounded(t.search_index(spark, _index(spark, d, table, key, column, analyzer), query, analyzer))
-        return _rounded(t.search(tables(spark, d, table), key, [(column, analyzer, 1.0)], query, F.expr(where)))
+            return t.search_index(spark, _index(spark, d, table, key, column, analyzer), query, analyzer, digits=6)
+        return t.search(tables(spark, d, table), key, [(column, analyzer, 1.0)], query, F.expr(where), digits=6)
 
 
 _one("ft_commit", "documents", "doc_id", "text", "commitMessage", "tion and the erth", ["tion", "erth"])
@@ -89,7 +89,7 @@ def _keyword(name: str, table: str, key: str, column: str, query: str, where: st
 
     @register(name, _top(_bm25_sql(table, key, tokens, [token], where=where)))
     def run(spark, d):
-        return _rounded(t.search(tables(spark, d, table), key, [(column, "dotQualifiedName", 1.0)], query, F.expr(where)))
+        return t.search(tables(spark, d, table), key, [(column, "dotQualifiedName", 1.0)], query, F.expr(where), digits=6)
 
 
 _keyword("ft_hierarchy", "customer", "c_custkey", "c_name", "customer#000000007")
@@ -100,7 +100,7 @@ _keyword("ft_fqn", "customer", "c_custkey", "c_mktsegment", "BUILDING", "c_natio
 
 @register("ft_type", f"SELECT doc_id, round(sum(score), 6) AS score FROM (SELECT * FROM ({_bm25_sql('customer', 'c_custkey', 'CASE WHEN coalesce(c_mktsegment, chr(48)) = chr(48) THEN CAST([] AS VARCHAR[]) ELSE [lower(c_mktsegment)] END', ['machinery'], 2.0)}) WHERE score > 0 UNION ALL SELECT * FROM ({_bm25_sql('customer', 'c_custkey', 'CASE WHEN coalesce(c_name, chr(48)) = chr(48) THEN CAST([] AS VARCHAR[]) ELSE [lower(c_name)] END', ['machinery'], 1.5)}) WHERE score > 0) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20")
 def ft_type(spark, d):
-    return _rounded(t.search(tables(spark, d, "customer"), "c_custkey", [("c_mktsegment", "dotQualifiedName", 2.0), ("c_name", "dotQualifiedName", 1.5)], "MACHINERY"))
+    return t.search(tables(spark, d, "customer"), "c_custkey", [("c_mktsegment", "dotQualifiedName", 2.0), ("c_name", "dotQualifiedName", 1.5)], "MACHINERY", digits=6)
 
 
 _CODE = "list_filter(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)/\\*.*?\\*/|//[^\\n]*', ' ', 'g'), '[\\p{L}_$][\\p{L}\\p{Nd}_$]*|\\p{Nd}[\\p{Nd}\\p{L}_.]*'), lambda x: x <> '')"
@@ -110,7 +110,7 @@ _SOURCE = f"list_transform(flatten(list_transform({_CODE}, lambda w: CASE WHEN l
 
 @register("ft_source", _top(_bm25_sql("pages", "page_id", _SOURCE, ["div", "class"])))
 def ft_source(spark, d):
-    return _rounded(t.search(tables(spark, d, "pages"), "page_id", [("html", "javaSourceEcj", 1.0)], "div class"))
+    return t.search(tables(spark, d, "pages"), "page_id", [("html", "javaSourceEcj", 1.0)], "div class", digits=6)
 
 
 @register("ft_blank", "SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE false")

@@ -265,3 +265,14 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns == ["event_type", "user_id", "commits"] and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_search_orders_rounded_scores(spark, tmp_path):
+    from gritmill.operators import text_search as t
+
+    # the shorter of two texts scores more, by less than a thousandth
+    texts = spark.createDataFrame([(1, "x " + "pad " * 2001), (2, "x " + "pad " * 2000), (3, "pad")], "k long, t string")
+    t.write_index(texts, "k", "t", "javaIdentifier", str(tmp_path / "index"))
+    for digits, want in ((None, 2), (2, 1)):
+        found = t.search(texts, "k", [("t", "javaIdentifier", 1.0)], "x", limit=1, digits=digits).collect(), t.search_index(spark, str(tmp_path / "index"), "x", "javaIdentifier", limit=1, digits=digits).collect()
+        assert [[r["doc_id"] for r in rows] for rows in found] == [[want], [want]]
