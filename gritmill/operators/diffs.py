@@ -11,24 +11,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gritmill.plans.tokens import lex
 
 
-def unified(before: str | None, after: str | None, path: str, max_lines: int = 500, width: int = 500) -> str:
-    """A unified diff of two versions (null: no file); long lines are cut, and lines beyond the most are counted in a last line."""
+def unified(before: str | None, after: str | None, path: str, max_lines: int | None = None, width: int | None = None) -> str:
+    """A unified diff of two versions (null: no file), whole unless limits are given: long lines are cut then, and lines beyond the most are counted in a last line."""
     a, b = (x.splitlines() if x else [] for x in (before, after))
     lines = [x[:width] for x in difflib.unified_diff(a, b, "/dev/null" if before is None else f"a/{path}", "/dev/null" if after is None else f"b/{path}", lineterm="")]
-    return "\n".join(lines[:max_lines] + ([f"... {len(lines) - max_lines} more lines"] if len(lines) > max_lines else []))
+    return "\n".join(lines[:max_lines] + ([f"... {len(lines) - max_lines} more lines"] if max_lines is not None and len(lines) > max_lines else []))
 
 
-def commit_diffs(parent: DataFrame, commit: DataFrame, prefix: str = "", max_files: int = 50) -> DataFrame:
+def commit_diffs(parent: DataFrame, commit: DataFrame, prefix: str = "", max_files: int | None = 50) -> DataFrame:
     """(commit, diff) from files (commit, path, text) of parents and commits: changed files under the prefix, by path.
 
-    A removed and an added file with the same text is a rename. Commits with more changed files give an empty diff. Equal
-    files fall out in the join, so only changed texts reach Python, and none of a commit with more files than are told.
+    A removed and an added file with the same text is a rename. Each file's diff is whole. Without `max_files` every commit is
+    told; with it, commits with more changed files give an empty diff, which tells callers to skip them. Equal files fall out
+    in the join, so only changed texts reach Python, and none of a commit that is skipped. Files are compared where the join
+    leaves them, so that a large commit's are many tasks' work; its diffs come together as one value, of 2 GB at most.
     Joins sort and merge: texts made by expressions look small to Spark, which would broadcast them through the driver.
     """
     a = parent.select("commit", "path", F.col("text").alias("before"))
     b = commit.select("commit", "path", F.col("text").alias("after"))
     both = a.join(b.hint("merge"), ["commit", "path"], "full").where(~F.col("before").eqNullSafe(F.col("after")) & F.startswith(F.col("path"), F.lit(prefix)))
-    gone = both.where("after is null").select("commit", F.col("path").alias("old_path"), F.xxhash64("before").alias("h"), F.col("before").alias("moved"))
+    # of copies the first gives the name, so that a commit that moves many of them is not paired in full
+    gone = both.where("after is null").groupBy("commit", F.xxhash64("before").alias("h"), F.col("before").alias("moved")).agg(F.min("path").alias("old_path"))
     come = both.where("before is null").select("commit", "path", F.xxhash64("after").alias("h"), "after")
     renames = come.join(gone.hint("merge"), ["commit", "h"]).where("after = moved").groupBy("commit", "path").agg(F.min("old_path").alias("old_path"))
 
@@ -38,12 +41,16 @@ def commit_diffs(parent: DataFrame, commit: DataFrame, prefix: str = "", max_fil
 
     left_behind = renames.select("commit", F.col("old_path").alias("path"), F.lit(True).alias("left_behind"))
     rows = both.join(renames.hint("merge"), ["commit", "path"], "left").join(left_behind.hint("merge"), ["commit", "path"], "left").where("left_behind is null")
-    wide = rows.where("commit is not null").groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") > max_files).select("commit")
-    rows = rows.join(wide.hint("merge"), "commit", "left_anti")
+    if max_files is not None:
+        wide = rows.where("commit is not null").groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n") > max_files).select("commit")
+        rows = rows.join(wide.hint("merge"), "commit", "left_anti")
     text = F.when(F.col("old_path").isNotNull(), F.concat(F.lit("rename from "), "old_path", F.lit("\nrename to "), "path")).otherwise(diff("before", "after", "path"))
     each = rows.select("commit", F.struct("path", text.alias("text")).alias("f"))
     files = each.groupBy("commit").agg(F.sort_array(F.collect_list("f")).alias("files"))
-    told = files.select("commit", F.when(F.size("files") > max_files, "").otherwise(F.array_join(F.transform("files", lambda f: f["text"]), "\n")).alias("diff"))
+    whole = F.array_join(F.transform("files", lambda f: f["text"]), "\n")
+    if max_files is None:
+        return files.select("commit", whole.alias("diff"))
+    told = files.select("commit", F.when(F.size("files") > max_files, "").otherwise(whole).alias("diff"))
     return told.unionByName(wide.select("commit", F.lit("").alias("diff")))
 
 

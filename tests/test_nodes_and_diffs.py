@@ -167,3 +167,23 @@ def test_commit_diffs_of_many_files(spark):
     assert "Broadcast" not in plan and "LeftAnti" in plan
     nameless = spark.range(3).selectExpr("CAST(null AS STRING) AS commit", "concat('f', id) AS path", "'x' AS text")
     assert [r["diff"] for r in d.commit_diffs(nameless.limit(0), nameless, max_files=2).collect()] == [""]
+
+
+def test_commit_diffs_tells_every_file(spark, tmp_path):
+    from gritmill.queries.functions import sources
+    from gritmill.queries.rules import commit_diffs
+
+    # all parts in one commit, of more files than the operator's own limit
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").withColumn("p_partkey", F.col("p_partkey") * 50).write.parquet(str(tmp_path / "part.parquet"))
+    files = sorted((r["path"], r["text"].splitlines()) for r in sources(spark, str(tmp_path)).collect())
+    told = ["\n".join([f"--- a/{p}", f"+++ b/{p}", "@@ -4,6 +4,6 @@", *(f" {x}" for x in t[3:6]), f"-{t[6]}", f"+{t[6].replace('int n', 'long n')}", *(f" {x}" for x in t[7:])]) for p, t in files]
+    assert len(told) > 50 and [tuple(r) for r in commit_diffs(spark, str(tmp_path)).collect()] == [("0", "\n".join(told))]
+    # long files and lines are whole, and so is a commit without a name
+    lines = [f"{i} {'x' * 700}" for i in range(600)]
+    rows = spark.createDataFrame([(None, "f", "\n".join(lines))], "commit string, path string, text string")
+    got = [r["diff"] for r in d.commit_diffs(rows.limit(0), rows, max_files=None).collect()]
+    assert got == ["\n".join(["--- /dev/null", "+++ b/f", "@@ -0,0 +1,600 @@", *(f"+{x}" for x in lines)])]
+    # of copies that move, the first gives the name and the others are removals
+    copies = [spark.createDataFrame([("c", f"{side}/{i}", "same") for i in range(3)], "commit string, path string, text string") for side in "ab"]
+    removed = [f"--- a/a/{i}\n+++ /dev/null\n@@ -1 +0,0 @@\n-same" for i in (1, 2)]
+    assert [r["diff"] for r in d.commit_diffs(*copies, max_files=None).collect()] == ["\n".join(removed + [f"rename from a/0\nrename to b/{i}" for i in range(3)])]
